@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textward.llm import bpe, packing
+from textward.llm import bpe, packing, rules
 from textward.session import table
 
 
@@ -20,5 +20,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing}
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "quality")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing, "op10_rules": op10_rules}
 ORACLE_SQL: dict[str, str] = {}
