@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textward.llm import bpe, packing, quality, rules
+from textward.llm import bpe, langid, packing, quality, rules
 from textward.session import table
 
 
@@ -25,10 +25,15 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "quality")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.learn(documents))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing, "op6_quality": op6_quality, "op10_rules": op10_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op10_rules": op10_rules}
 ORACLE_SQL: dict[str, str] = {}
