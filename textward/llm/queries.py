@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textward.llm import bpe, langid, packing, quality, rules
+from textward.llm import bpe, langid, packing, quality, rules, secrets
 from textward.session import table
 
 
@@ -14,6 +14,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -35,5 +39,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op10_rules": op10_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op10_rules": op10_rules}
 ORACLE_SQL: dict[str, str] = {}
