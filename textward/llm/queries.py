@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textward.llm import bpe, langid, packing, quality, rules, secrets
+from textward.llm import bpe, langid, minhash, packing, quality, rules, secrets
 from textward.session import table
 
 
@@ -24,6 +24,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "quality")
@@ -39,5 +43,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op10_rules": op10_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op8_minhash": op8_minhash, "op10_rules": op10_rules}
 ORACLE_SQL: dict[str, str] = {}
