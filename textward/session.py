@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -73,6 +74,15 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files that no table refers to any more.
+
+        Its cleaner acts when the driver collects garbage, which a small driver
+        heap may not need for a long time.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         jvm = self.spark.sparkContext._jvm
