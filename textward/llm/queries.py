@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textward.llm import bpe, langid, minhash, packing, quality, rules, secrets
+from textward.llm import bpe, langid, line_dedup, minhash, packing, quality, rules, secrets
 from textward.session import table
 
 
@@ -28,6 +29,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "quality")
@@ -43,5 +49,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op8_minhash": op8_minhash, "op10_rules": op10_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op8_minhash": op8_minhash, "op9_lines": op9_lines, "op10_rules": op10_rules}
 ORACLE_SQL: dict[str, str] = {}
