@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, langid, line_dedup, minhash, packing, quality, rules, secrets
+from textward.llm import bpe, langid, line_dedup, minhash, packing, quality, rules, secrets, suffix_dedup
 from textward.session import table
 
 
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op8_minhash": op8_minhash, "op9_lines": op9_lines, "op10_rules": op10_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_suffix": op7_suffix, "op8_minhash": op8_minhash, "op9_lines": op9_lines, "op10_rules": op10_rules}
 ORACLE_SQL: dict[str, str] = {}
