@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import bpe, langid, line_dedup, minhash, packing, quality, rules, secrets, suffix_dedup
+from textward.llm import ann, bpe, langid, line_dedup, minhash, packing, quality, rules, secrets, suffix_dedup
 from textward.session import table
 
 
@@ -19,6 +19,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -53,5 +57,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_suffix": op7_suffix, "op8_minhash": op8_minhash, "op9_lines": op9_lines, "op10_rules": op10_rules}
+QUERIES = {"op1_bpe": op1_bpe, "op2_secrets": op2_secrets, "op3_ann": op3_ann, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_suffix": op7_suffix, "op8_minhash": op8_minhash, "op9_lines": op9_lines, "op10_rules": op10_rules}
 ORACLE_SQL: dict[str, str] = {}
