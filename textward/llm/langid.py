@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textward.llm.common import map_texts, texts_of
 from textward.llm.quality import held_out
@@ -155,3 +156,19 @@ def predict(df: DataFrame, model: Backoff) -> DataFrame:
 
     out = map_texts(texts_of(df), work, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def annotate(df: DataFrame, model: Backoff) -> DataFrame:
+    """The same rows and columns with lang_pred and lang_score, in one narrow pass."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+    ready = df.withColumn("text", F.col("text").cast("string"))
+    names = [*ready.columns, "lang_pred", "lang_score"]
+    at = names.index("text")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [held.value.predict(t) for t in batch.column(at).to_pylist()]
+        new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], names)
+
+    schema = T.StructType([*ready.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return map_texts(ready, work, schema)
