@@ -30,6 +30,22 @@ def finding(policy: str, label: str, action: str) -> Column:
     return F.array(F.struct(F.lit(policy).alias("policy"), F.lit(label).alias("label"), F.lit(action).alias("action"), F.lit(None).cast("double").alias("score"), S.none().alias("spans"), F.lit("text").alias("target"), F.lit(None).cast("int").alias("idx"))).cast(FULL)
 
 
+def located(df: DataFrame, policy: Policy, text: str, out: str) -> DataFrame:
+    """`df` with what a policy finds in a text, one named column after the other."""
+    df = df.withColumn(out, policy.located(F.col(text)))
+    for step in policy.steps():
+        df = df.withColumn(out, step(F.col(out)))
+    return df
+
+
+def findings_of(df: DataFrame, policy: Policy, stage: str, text: str = "text") -> DataFrame:
+    """`df` with `found` (label, action, spans) and `edited`, the text after a single policy. Null text counts as empty."""
+    df = located(df.withColumn("edited", F.coalesce(F.col(text), F.lit(""))), policy, "edited", "__l")
+    raw, edits = policy.apply(F.col("edited"), F.col("__l"), stage)
+    df = df.withColumn("found", raw).withColumn("__e", edits)
+    return df.withColumn("edited", S.replaced(F.col("edited"), F.col("__e"))).drop("__l", "__e")
+
+
 def _named(raw: Column, policy: str, history: list[Column]) -> Column:
     """A policy's findings in full, with spans in the original text."""
     return F.transform(
@@ -97,16 +113,19 @@ def check(df: DataFrame, stage: str, policies: Iterable[Policy] = (), text: str
     out = df.withColumn("sanitized", original if stage == "output" else escape_placeholders(original))
     too_long = F.octet_length(original) > max_input_bytes
     escaped = F.lit(False) if stage == "output" else (original != F.col("sanitized"))
-    found = F.when(escaped, finding(V.ENGINE, "placeholder_in_text", "flag")).otherwise(F.array().cast(FULL))
+    out = out.withColumn("__all", F.when(escaped, finding(V.ENGINE, "placeholder_in_text", "flag")).otherwise(F.array().cast(FULL)))
     history: list[str] = []
+    temporary: list[str] = []
     for k, policy in enumerate(ordered):
         if isinstance(policy, AllowedTools):
             raw, edits = policy.tool(F.col(tool or "tool")), None
         else:
-            raw, edits = policy.apply(F.col("sanitized"), stage)
+            out = located(out, policy, "sanitized", f"__l{k}")
+            temporary.append(f"__l{k}")
+            raw, edits = policy.apply(F.col("sanitized"), F.col(f"__l{k}"), stage)
         # Named columns keep the optimizer from repeating an expression in every later one.
         out = out.withColumn(f"__f{k}", raw)
-        found = F.concat(found, _named(F.col(f"__f{k}"), policy.name, [F.col(h) for h in history]))
+        out = out.withColumn("__all", F.concat(F.col("__all"), _named(F.col(f"__f{k}"), policy.name, [F.col(h) for h in history])))
         if edits is not None and stage != "tool_call":
             out = out.withColumn(f"__e{k}", edits).withColumn("sanitized", S.replaced(F.col("sanitized"), F.col(f"__e{k}")))
             history.append(f"__e{k}")
@@ -119,10 +138,11 @@ def check(df: DataFrame, stage: str, policies: Iterable[Policy] = (), text: str
     )
     missing = F.col(judged).isNull() if judged else F.lit(False)
     said = F.when(missing, finding(V.ENGINE, "backend_error", "block")).otherwise(F.col(judged)).cast(FULL) if judged else F.array().cast(FULL)
-    out = out.withColumn("__limit", limits).withColumn("findings", F.coalesce(F.col("__limit"), merge_findings(F.concat(found, said))))
+    out = out.withColumn("__limit", limits).withColumn("__all", F.concat("__all", said))
+    out = out.withColumn("findings", F.coalesce(F.col("__limit"), merge_findings(F.col("__all"))))
     out = out.withColumn("decision", decision(F.col("findings"))).withColumn("complete", F.col("__limit").isNull() & ~missing)
     out = out.withColumn("sanitized", F.when(F.col("__limit").isNotNull(), F.lit("")).otherwise(F.col("sanitized")))
     passed = original if stage == "tool_call" or (stage == "output" and all(getattr(p, "output_mode", "flag") == "flag" for p in ordered)) else F.col("sanitized")
     out = out.withColumn("ok", (F.col("decision") == "allow") & F.col("complete"))
     out = out.withColumn("onward", F.when(F.col("ok"), passed).otherwise(refusal(F.col("findings"), stage)))
-    return out.drop("__limit", *(f"__f{k}" for k in range(len(ordered))), *(f"__e{k}" for k in range(len(ordered))))
+    return out.drop("__limit", "__all", *temporary, *(f"__f{k}" for k in range(len(ordered))), *(f"__e{k}" for k in range(len(ordered))))

@@ -47,7 +47,11 @@ def _edits(spans: Column, replacement: str) -> Column:
 
 @dataclass
 class Policy:
-    """Findings and edits of a text; `stages` are the origins of text it looks at, `phase` its place in the order."""
+    """Findings and edits of a text; `stages` are the origins of text it looks at, `phase` its place in the order.
+
+    `located` gives columns to be named first, so that no later expression repeats
+    the search; `apply` reads them.
+    """
 
     name: str
     stages: Iterable[str] = V.TEXT_STAGES
@@ -58,7 +62,15 @@ class Policy:
         if not set(self.stages) <= set(V.STAGES):
             raise PolicyError("unknown stage")
 
-    def apply(self, text: Column, stage: str) -> tuple[Column, Column]:
+    def located(self, text: Column) -> Column:
+        """What is searched for in the text: spans, hits or a count."""
+        raise NotImplementedError
+
+    def steps(self) -> list:
+        """Further steps from the column that `located` names."""
+        return []
+
+    def apply(self, text: Column, found: Column, stage: str) -> tuple[Column, Column]:
         raise NotImplementedError
 
     def outcome(self, spans: Column, label: str, action: str, replacement: str = V.REDACTED) -> tuple[Column, Column]:
@@ -76,9 +88,12 @@ class InvisibleText(Policy):
     everything: bool = False
     block: bool = False
 
-    def apply(self, text: Column, stage: str) -> tuple[Column, Column]:
+    def located(self, text: Column) -> Column:
         pattern = V.INVISIBLE[:-1] + (r"\x{200c}\x{200d}\p{Cf}\p{Co}\p{Cn}]" if self.everything else "]")
-        return self.outcome(S.found(text, pattern + "+"), "invisible_text", "block" if self.block else "redact", "")
+        return S.found(text, pattern + "+")
+
+    def apply(self, text: Column, found: Column, stage: str) -> tuple[Column, Column]:
+        return self.outcome(found, "invisible_text", "block" if self.block else "redact", "")
 
 
 @dataclass
@@ -89,7 +104,7 @@ class Regex(Policy):
     fullmatch: bool = False
     require: bool = False
 
-    def apply(self, text: Column, stage: str) -> tuple[Column, Column]:
+    def located(self, text: Column) -> Column:
         if not (patterns := list(self.patterns)):
             raise PolicyError("regex needs at least one pattern")
         if self.fullmatch:
@@ -97,10 +112,15 @@ class Regex(Policy):
             each = [F.when(text.rlike(rf"\A(?:{p})\z") & (F.length(text) > 0), whole).otherwise(S.none()) for p in patterns]
         else:
             each = [S.found(text, p) for p in patterns]
-        spans = S.merged(F.concat(*each)) if len(each) > 1 else S.merged(each[0])
+        return F.concat(*each)
+
+    def steps(self) -> list:
+        return [S.merged]
+
+    def apply(self, text: Column, found: Column, stage: str) -> tuple[Column, Column]:
         if self.require:
-            return F.when(F.size(spans) == 0, _one("regex", "block", S.none())).otherwise(_nothing(FINDING)), _nothing(EDIT)
-        return self.outcome(spans, "regex", self.action)
+            return F.when(F.size(found) == 0, _one("regex", "block", S.none())).otherwise(_nothing(FINDING)), _nothing(EDIT)
+        return self.outcome(found, "regex", self.action)
 
 
 def _every(subject: Column, needle: str) -> Column:
@@ -120,7 +140,7 @@ class Substrings(Policy):
     whole_words: bool = False
     fold: bool = True
 
-    def apply(self, text: Column, stage: str) -> tuple[Column, Column]:
+    def located(self, text: Column) -> Column:
         if not (terms := list(self.terms)) or not all(terms):
             raise PolicyError("substrings needs non-empty terms")
         subject = F.lower(text) if self.fold else text
@@ -136,7 +156,13 @@ class Substrings(Policy):
                 each.append(F.when(F.contains(subject, F.lit(needle)), _every(subject, needle)).otherwise(S.none()).cast(S.SPAN))
             else:
                 each.append(F.when(F.contains(subject, F.lit(needle)), S.found(subject, quoted)).otherwise(S.none()))
-        return self.outcome(S.merged(F.concat(*each)), "substrings", self.action)
+        return F.concat(*each)
+
+    def steps(self) -> list:
+        return [S.merged]
+
+    def apply(self, text: Column, found: Column, stage: str) -> tuple[Column, Column]:
+        return self.outcome(found, "substrings", self.action)
 
 
 @dataclass
@@ -157,8 +183,11 @@ class ReadingTime(Policy):
     max_words: int = V.WORDS_PER_MINUTE
     truncate: bool = False
 
-    def apply(self, text: Column, stage: str) -> tuple[Column, Column]:
-        over = F.regexp_count(text, F.lit(r"(?U)\S+")) > self.max_words
+    def located(self, text: Column) -> Column:
+        return F.regexp_count(text, F.lit(r"(?U)\S+"))
+
+    def apply(self, text: Column, found: Column, stage: str) -> tuple[Column, Column]:
+        over = found > self.max_words
         whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"))).cast(S.SPAN)
         if not self.truncate:
             return F.when(over, _one("reading_time", "block", whole)).otherwise(_nothing(FINDING)), _nothing(EDIT)
@@ -177,7 +206,11 @@ def _hits(text: Column, entity: str, pattern: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(entity).alias("entity"))).cast(HIT)
 
 
-def grouped(hits: Column, action: str, names: Iterable[str]) -> Column:
+def _as_hits(spans: Column, entity: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(entity).alias("entity"))).cast(HIT)
+
+
+def grouped(hits: Column, action: str) -> Column:
     """One finding for each entity, its spans merged, in the order the entities first occur."""
     order = F.array_distinct(F.transform(hits, lambda h: h["entity"]))
     return F.transform(
@@ -195,7 +228,7 @@ class Sensitive(Policy):
     stages: Iterable[str] = V.STAGES
     key: bytes | None = field(default=None, repr=False)
 
-    def hits(self, text: Column) -> Column:
+    def located(self, text: Column) -> Column:
         raise NotImplementedError
 
     def mode(self, stage: str) -> tuple[str, str]:
@@ -210,14 +243,14 @@ class Sensitive(Policy):
             return (T.hmac_sha256 if mode == "hmac" else T.token)(self.key, value)
         return F.concat(F.lit("[REDACTED_"), F.upper(entity), F.lit("]"))
 
-    def apply(self, text: Column, stage: str) -> tuple[Column, Column]:
+    def apply(self, text: Column, found: Column, stage: str) -> tuple[Column, Column]:
         mode, action = self.mode(stage)
-        hits = self.hits(text)
+        hits = found
         edits = _nothing(EDIT)
         if stage != "tool_call":
             value = lambda h: F.substring(text, h["start"] + 1, h["end"] - h["start"])
             edits = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), self.replacement(value(h), h["entity"], mode).alias("replacement"))).cast(EDIT)
-        return grouped(hits, action, ()), edits
+        return grouped(hits, action), edits
 
 
 @dataclass
@@ -234,10 +267,12 @@ class Pii(Sensitive):
         if unknown := set(self.entities) - {e for e, _ in V.PII}:
             raise PolicyError(f"unknown entity: {min(unknown)}")
 
-    def hits(self, text: Column) -> Column:
+    def located(self, text: Column) -> Column:
         wanted = set(self.entities)
-        every = F.concat(*(_hits(text, e, p) for e, p in V.PII if e in wanted))
-        return S.non_overlapping(every, HIT)
+        return F.concat(*(_hits(text, e, p) for e, p in V.PII if e in wanted))
+
+    def steps(self) -> list:
+        return [lambda hits: S.non_overlapping(hits, HIT)]
 
     def mode(self, stage: str) -> tuple[str, str]:
         if stage == "tool_call":
@@ -263,9 +298,11 @@ class Secrets(Sensitive):
         if self.how == "hmac" and (self.key is None or len(self.key) < 32):
             raise PolicyError("hmac needs a key of at least 32 bytes")
 
-    def hits(self, text: Column) -> Column:
-        spans = S.merged(F.concat(*(S.found(text, p) for p in (*V.SECRETS, V.SECRET_KEYWORD))))
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("secret").alias("entity"))).cast(HIT)
+    def located(self, text: Column) -> Column:
+        return F.concat(*(S.found(text, p) for p in (*V.SECRETS, V.SECRET_KEYWORD)))
+
+    def steps(self) -> list:
+        return [S.merged, lambda spans: _as_hits(spans, "secret")]
 
     def mode(self, stage: str) -> tuple[str, str]:
         return self.how, "block" if stage == "tool_call" else "redact"
@@ -277,9 +314,11 @@ class Canary(Sensitive):
     stages: Iterable[str] = ("output", "tool_call")
     word: str = ""
 
-    def hits(self, text: Column) -> Column:
-        spans = F.when(F.contains(F.lower(text), F.lit(self.word.lower())), S.found(F.lower(text), re.escape(self.word.lower()))).otherwise(S.none())
-        return F.transform(S.merged(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("canary").alias("entity"))).cast(HIT)
+    def located(self, text: Column) -> Column:
+        return F.when(F.contains(F.lower(text), F.lit(self.word.lower())), S.found(F.lower(text), re.escape(self.word.lower()))).otherwise(S.none())
+
+    def steps(self) -> list:
+        return [S.merged, lambda spans: _as_hits(spans, "canary")]
 
     def mode(self, stage: str) -> tuple[str, str]:
         return "remove", "block"
