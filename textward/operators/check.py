@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textward.functions import spans as S
 from textward.functions import values as V
-from textward.operators.policies import AllowedTools, Policy, escape_placeholders
+from textward.operators.policies import AllowedTools, Policy, Sensitive, escape_placeholders
 
 FULL = "array<struct<policy:string,label:string,action:string,score:double,spans:array<struct<start:int,end:int>>,target:string,idx:int>>"
 PHASES = ("normalize", "detect", "limit")
@@ -116,6 +116,7 @@ def check(df: DataFrame, stage: str, policies: Iterable[Policy] = (), text: str
     out = out.withColumn("__all", F.when(escaped, finding(V.ENGINE, "placeholder_in_text", "flag")).otherwise(F.array().cast(FULL)))
     history: list[str] = []
     temporary: list[str] = []
+    replaced: list[str] = []
     for k, policy in enumerate(ordered):
         if isinstance(policy, AllowedTools):
             raw, edits = policy.tool(F.col(tool or "tool")), None
@@ -129,7 +130,9 @@ def check(df: DataFrame, stage: str, policies: Iterable[Policy] = (), text: str
         if edits is not None and stage != "tool_call":
             out = out.withColumn(f"__e{k}", edits).withColumn("sanitized", S.replaced(F.col("sanitized"), F.col(f"__e{k}")))
             history.append(f"__e{k}")
-    count = sum((F.size(h) for h in history), F.lit(0))
+            if isinstance(policy, Sensitive):
+                replaced.append(f"__e{k}")
+    count = sum((F.size(h) for h in replaced), F.lit(0))
     grown = F.octet_length("sanitized") > GROWTH * max_input_bytes
     limits = (
         F.when(too_long, finding(V.ENGINE, "input_too_long", "block"))
