@@ -49,7 +49,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, settle: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
     """(a, b) links that connect all candidates which any link connects.
 
     `buckets` has key, id and size (of the id's set); ids that share a key are
@@ -60,6 +60,10 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
     were rounds squared; what is little enough is compared at once. So every
     candidate pair is compared or known to be connected, and nearly all that a
     hot bucket holds is settled by a few pivots, without all its pairs.
+
+    With `settle`, what is open after `rounds` rounds goes to it: it gets key, id,
+    component and n (members of the bucket) of the open buckets and returns links
+    that connect whatever is linked there.
     """
     left = scratch.write(buckets.select("key", "id", "size"), "buckets-0")
     ids = left.select("id").distinct().count()
@@ -77,6 +81,10 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
         total = rows.agg(F.sum(F.col("n") - 1), F.max("n")).first()
         if not total[0]:
             break
+        if settle is not None and step >= rounds:
+            found = scratch.write(settle(rows), "settled")
+            links = found if links is None else links.union(found)
+            break
         last = total[0] / 2 <= LEFTOVER * ids and total[1] <= 64
         alike = lambda a, b: 100 * F.least(a, b) >= 75 * F.greatest(a, b)
         if last:

@@ -29,6 +29,8 @@ from textward.llm.components import components, link
 from textward.session import Scratch, ship
 
 WORDS, BANDS, ROWS = 5, 32, 4
+#: Members of a bucket that meet in a task, twice as many where it has more.
+BLOCK = 512
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _SEGMENT = 1 << 19
 
@@ -170,6 +172,59 @@ def _common(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
+def settle_bucket(ids: np.ndarray, component: np.ndarray, found: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of a bucket's members, as far as any link does.
+
+    Members outside the largest component are compared with all of another
+    component; so every pair across components is compared.
+    """
+    _, group, size = np.unique(component, return_inverse=True, return_counts=True)
+    lengths = np.array([len(x) for x in found])
+    starts = np.cumsum(lengths) - lengths
+    codes = np.unique(np.concatenate(found), return_inverse=True)[1]
+    marks = np.zeros(int(codes.max()) + 1, np.int64)
+    out = []
+    for p in np.flatnonzero(group != size.argmax()):
+        own = codes[starts[p] : starts[p] + lengths[p]]
+        marks[own] = 1
+        same = np.add.reduceat(marks[codes], starts)
+        marks[own] = 0
+        for q in np.flatnonzero((group != group[p]) & (100 * same >= 75 * (lengths + lengths[p] - same))):
+            if group[q] != group[p]:
+                group[group == group[q]] = group[p]
+                out.append((int(min(ids[p], ids[q])), int(max(ids[p], ids[q]))))
+    return out
+
+
+def _settled(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within open buckets, which go to tasks in pairs of blocks of bounded size."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("long")
+    dealt = rows.select("key", "id", "component", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "component")
+    ready = dealt.join(sets, "id").select("key", "lo", "hi", "id", "component", "found").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def work(batches):
+        name, ids, component, found = None, [], [], []
+
+        def links() -> list[tuple[int, int]]:
+            return settle_bucket(np.array(ids), np.array(component), found) if len(set(component)) > 1 else []
+
+        for batch in batches:
+            out = []
+            for key, lo, hi, one, c, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (key, lo, hi) != name:
+                    out += links()
+                    name, ids, component, found = (key, lo, hi), [], [], []
+                ids.append(one), component.append(c), found.append(np.frombuffer(raw, np.uint64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([x for _, x in out])], ["a", "b"])
+        if out := links():
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([x for _, x in out])], ["a", "b"])
+
+    return ready.mapInArrow(work, "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     spark = df.sparkSession
@@ -187,7 +242,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         one = pairs.join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
         return _common(one.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a"))
 
-    found = components(link(buckets, verify, scratch), scratch, "components")
+    found = components(link(buckets, verify, scratch, lambda rows: _settled(rows, sets)), scratch, "components")
     named = classes.select("h1", "h2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
