@@ -1,7 +1,9 @@
 import hashlib
 import hmac
 import re
+import time
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from textward.operators import check as C
 from textward.operators import joins as J
 from textward.operators import judge as G
 from textward.operators import policies as P
+from textward.plans.config import policies_from
 from textward.sources import hooks as H
+from textward.streaming.replies import assemble
 
 
 def frame(spark, *texts):
@@ -124,3 +128,36 @@ def test_hooks(spark):
     assert [r["stage"] for r in H.events(df).collect()] == ["output", None]
     df = spark.createDataFrame([('{"stdout":"a","stderr":"b"}',), ('{"content":"c"}',)], "v string")
     assert [r[0] for r in df.select(H.tool_text(F.col("v"))).collect()] == ["a\nb", "c"]
+
+
+def test_limits_and_json(spark):
+    df = frame(spark, "one two three four", 'x {"a": 1} y', "[1", "")
+    cut = C.findings_of(df, P.TokenLimit(most=2, truncate=True), "input").orderBy("doc_id").collect()
+    assert cut[0]["edited"] == "one two" and cut[0]["found"][0]["action"] == "flag" and cut[3]["edited"] == ""
+    found = C.findings_of(df, P.JsonCheck(required_elements=1), "output").orderBy("doc_id").collect()
+    assert [len(r["found"]) for r in found] == [1, 0, 1, 1]
+
+
+def test_configuration():
+    found = policies_from('{"model": "m", "guards": {"pii": {"entities": ["UUID"]}, "regex": {"enabled": false}, "reading_time": {"most": 5}}}')
+    assert [p.name for p in found] == ["pii", "reading_time"] and found[1].most == 5
+    for bad in ("{", '{"guards": {"other": {}}}', '{"guards": {"pii": {"x": 1}}}', '{"guards": {"reading_time": {"most": true}}}', '{"guards": {"reading_time": {"most": 0}}}'):
+        with pytest.raises(P.PolicyError):
+            policies_from(bad)
+
+
+def test_streamed_replies(spark, tmp_path):
+    schema = "session string, message string, seq long, delta string, final boolean"
+    batches = [[("s", "m", 1, "Hel", False), ("s", "n", 1, "x", False)], [("s", "m", 2, "lo", True)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = assemble(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    run = stream.writeStream.format("memory").queryName("replies").outputMode("append").option("checkpointLocation", f"{tmp_path}/check").start()
+    try:  # with a timeout on state the query goes on with empty batches, so it never counts as idle
+        for _ in range(90):
+            if spark.table("replies").count() or not run.isActive:
+                break
+            time.sleep(1)
+    finally:
+        run.stop()
+    assert [tuple(r) for r in spark.table("replies").collect()] == [("s", "m", "Hello", 2)]

@@ -37,6 +37,12 @@ def found(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda s: s["out"])).otherwise(none())
 
 
+def end_of(text: Column, pattern: str, n: int) -> Column:
+    """Where the n-th match ends; at the last match's end, if there are fewer."""
+    total = lambda parts: F.aggregate(F.slice(F.transform(parts, F.length), 1, n), F.lit(0), lambda a, x: a + x)
+    return total(F.split(text, pattern, -1)) + total(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
 def merged(spans: Column) -> Column:
     """Sorted, with overlapping and touching spans joined."""
 

@@ -6,11 +6,14 @@ expressions. Edits are (start, end, replacement), sorted and non-overlapping.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,24 +179,85 @@ class AllowedTools(Policy):
 
 
 @dataclass
-class ReadingTime(Policy):
-    name: str = "reading_time"
-    stages: Iterable[str] = ("input", "output")
+class _Limit(Policy):
+    """At most `most` matches of `pattern`: a longer text blocks as a whole, or is cut after the last of them."""
+
     phase: str = "limit"
-    max_words: int = V.WORDS_PER_MINUTE
+    most: int = 1
     truncate: bool = False
+    pattern: str = r"(?U)\S+"
+    cut: str = "redact"
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        if self.most < 1:
+            raise PolicyError(f"{self.name} needs a positive limit")
 
     def located(self, text: Column) -> Column:
-        return F.regexp_count(text, F.lit(r"(?U)\S+"))
+        return F.regexp_count(text, F.lit(self.pattern))
 
     def apply(self, text: Column, found: Column, stage: str) -> tuple[Column, Column]:
-        over = found > self.max_words
+        over = found > self.most
         whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"))).cast(S.SPAN)
         if not self.truncate:
-            return F.when(over, _one("reading_time", "block", whole)).otherwise(_nothing(FINDING)), _nothing(EDIT)
-        kept = F.length(F.regexp_extract(text, rf"\A(?U)(?:\s*\S+){{{self.max_words}}}", 0))
-        rest = F.array(F.struct(kept.alias("start"), F.length(text).alias("end"))).cast(S.SPAN)
-        return F.when(over, _one("reading_time", "redact", rest)).otherwise(_nothing(FINDING)), F.when(over, _edits(rest, "")).otherwise(_nothing(EDIT))
+            return F.when(over, _one(self.name, "block", whole)).otherwise(_nothing(FINDING)), _nothing(EDIT)
+        rest = F.array(F.struct(S.end_of(text, self.pattern, self.most).alias("start"), F.length(text).alias("end"))).cast(S.SPAN)
+        said = whole if self.cut == "flag" else rest
+        return F.when(over, _one(self.name, self.cut, said)).otherwise(_nothing(FINDING)), F.when(over, _edits(rest, "")).otherwise(_nothing(EDIT))
+
+
+@dataclass
+class ReadingTime(_Limit):
+    """Texts that take longer than `most` words to read, at 200 words a minute."""
+
+    name: str = "reading_time"
+    stages: Iterable[str] = ("input", "output")
+    most: int = V.WORDS_PER_MINUTE
+
+
+@dataclass
+class TokenLimit(_Limit):
+    """Texts of more than `most` tokens. A token is a match of `pattern`: by default a run of word characters, or one other."""
+
+    name: str = "token_limit"
+    stages: Iterable[str] = ("input",)
+    pattern: str = r"(?U)\w+|[^\w\s]"
+    cut: str = "flag"
+
+
+def first_json(text: str, attempts: int = 100) -> tuple[int, int, int] | None:
+    """(start, end, elements) of the first object or array that decodes, from at most `attempts` brackets."""
+    decoder = json.JSONDecoder()
+    for m in itertools.islice(re.finditer(r"[{\[]", text), attempts):
+        try:
+            value, end = decoder.raw_decode(text, m.start())
+        except (ValueError, RecursionError):
+            continue
+        return m.start(), end, len(value)
+    return None
+
+
+@dataclass
+class JsonCheck(Policy):
+    """Replies without a JSON object or array of at least `required_elements` items block. Texts without a bracket never reach Python."""
+
+    name: str = "json_check"
+    stages: Iterable[str] = ("output",)
+    required_elements: int = 0
+
+    def located(self, text: Column) -> Column:
+        @F.pandas_udf("struct<start:int,end:int,elements:int>")
+        def find(values: pd.Series) -> pd.DataFrame:
+            rows = [(first_json(v) if v is not None else None) or (None, None, None) for v in values]
+            return pd.DataFrame(rows, columns=["start", "end", "elements"]).astype("Int32")
+
+        return find(F.when(text.rlike(r"[{\[]"), text))
+
+    def apply(self, text: Column, found: Column, stage: str) -> tuple[Column, Column]:
+        none = found["start"].isNull()
+        span = F.struct(F.when(none, F.lit(0)).otherwise(found["start"]).alias("start"), F.when(none, F.length(text)).otherwise(found["end"]).alias("end"))
+        bad = none | (found["elements"] < self.required_elements)
+        return F.when(bad, _one("json_check", "block", F.array(span).cast(S.SPAN))).otherwise(_nothing(FINDING)), _nothing(EDIT)
 
 
 HIT = "array<struct<start:int,end:int,entity:string>>"

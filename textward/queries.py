@@ -321,6 +321,17 @@ def token_roundtrip(spark, sf_dir):
     return J.restore(hidden, store, "doc_id", "doc_id", "edited")
 
 
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[a-zA-Z]+')) > 150 AS blocked FROM documents")
+def token_limit_block(spark, sf_dir):
+    return _single(spark, sf_dir, P.TokenLimit(most=150, pattern="[a-zA-Z]+"), "input").select("doc_id", (F.size("found") > 0).alias("blocked"))
+
+
+@query("SELECT event_id, NOT json_valid(props) AS blocked FROM events")
+def json_embedded(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    return C.findings_of(events, P.JsonCheck(), "output", "props").select("event_id", (F.size("found") > 0).alias("blocked"))
+
+
 @query()
 def chunk_spans(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.explode(G.chunks(F.col("text"), 1024)).alias("s")).select("doc_id", "s.start", "s.end")
