@@ -9,10 +9,12 @@ is parsed into phrases, and a phrase occurs again wherever its trigger does.
 1. Triggers that occur once cannot carry a repeat. They are counted by hash.
 2. Phrases of the other triggers are classed by content. Every occurrence of a
    phrase but the first in corpus order (doc_id, start) repeats as a whole.
-3. Where one trigger has several phrases, these are the dictionary: its suffixes
-   are sorted to 100 bytes by prefix doubling, and the suffix order is combined
-   with the parse, that is the corpus order of the phrases, to find the first
-   occurrence of every string. Every start but the first repeats.
+3. Where one trigger has several phrases, these are the dictionary. Its suffixes
+   from the trigger on are sorted, and so are its prefixes read backwards from the
+   trigger: two suffix arrays, range-partitioned. The common lengths of neighbours
+   tell which strings of a phrase another phrase can share. For those the parse,
+   that is the corpus order of the phrases, gives the first occurrence; every
+   other one repeats.
 4. The bytes of all repeats are cut out of their documents.
 
 Everything is judged on the input. Steps 1 to 3 aggregate before they shuffle,
@@ -94,8 +96,8 @@ def least_at(hashes: np.ndarray, window: int) -> np.ndarray:
     return at[:n]
 
 
-def phrases(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, number of starts, hash of the trigger, hash of the content) of the phrases of a text, by segment."""
+def phrases(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, number of starts, hash of the trigger, hash of the content, place of the trigger after the start) of the phrases of a text, by segment."""
     for base in range(0, len(data) - SPAN + 1, _SEGMENT):
         part = data[base : base + _SEGMENT + SPAN - 1]
         hashes = rolling(part, GRAM)
@@ -105,7 +107,7 @@ def phrases(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         powers, back = _powers()
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_codes(1)[part] * powers[: len(part)], dtype=np.uint64)))
         content = _spread((sums[start + count + SPAN - 1] - sums[start]) * back[start] + count.astype(np.uint64))
-        yield start + base, count, hashes[at[start]].view(np.int64), content.view(np.int64)
+        yield start + base, count, hashes[at[start]].view(np.int64), content.view(np.int64), at[start] - start
 
 
 def _bytes(value: pa.Scalar) -> np.ndarray:
@@ -120,7 +122,7 @@ def _trigger_rows(texts: DataFrame) -> DataFrame:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = _bytes(text)
             if len(data) >= SPAN:
-                key, n = np.unique(np.concatenate([k for _, _, k, _ in phrases(data)]), return_counts=True)
+                key, n = np.unique(np.concatenate([x[2] for x in phrases(data)]), return_counts=True)
                 docs.append(np.full(len(key), doc)), keys.append(key), times.append(np.minimum(n, 2))
         if not docs:
             return None
@@ -136,7 +138,7 @@ def _phrase_rows(joined: DataFrame) -> DataFrame:
         out = []
         for doc, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             wanted = np.sort(keys.values.to_numpy())
-            for start, n, key, content in phrases(_bytes(text)):
+            for start, n, key, content, _ in phrases(_bytes(text)):
                 hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
                 out.append((np.full(hit.sum(), doc), start[hit], n[hit], key[hit], content[hit]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
@@ -145,55 +147,93 @@ def _phrase_rows(joined: DataFrame) -> DataFrame:
     return map_texts(joined.select("doc_id", "text", "keys"), work, "doc_id long, start long, n long, key long, content long")
 
 
-def suffix_ranks(data: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes by their first 100 bytes, equal where these are equal, by prefix doubling.
-
-    The last suffixes, shorter than that, have no rank.
-    """
-    n = len(data) - 7
-    if len(data) < SPAN:
-        return np.empty(0, np.int64)
-    eight = np.zeros(n, np.uint64)
-    for k in range(8):
-        eight = (eight << np.uint64(8)) | data[k : k + n]
-    rank = np.unique(eight, return_inverse=True)[1].astype(np.int64)
-    for step in (8, 16, 32, 36):
-        both = rank[:-step] * (len(rank) + 1) + rank[step:]
-        rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
-    return rank
-
-
-def _first_strings(joined: DataFrame) -> DataFrame:
-    """(w1, w2, doc_id, start): for every string of the dictionary phrases of a slice its first place in corpus order."""
+def _dictionary(joined: DataFrame) -> DataFrame:
+    """(key, doc_id, start, n, place, back, ahead): the dictionary phrases, as the bytes before the trigger, backwards, and those from it on."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs, starts, parts = [], [], []
+        rows = []
         for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = _bytes(text)
-            # Neighbouring phrases overlap in the text, so their strings are one run.
-            spans = sorted({(w["start"], w["start"] + w["n"]) for w in wanted if w["start"] + w["n"] + SPAN - 1 <= len(data)})
-            runs: list[list[int]] = []
-            for a, b in spans:
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(b, runs[-1][1])
-                else:
-                    runs.append([a, b])
-            for a, b in runs:
-                docs.append(np.full(b - a, doc)), starts.append(np.arange(a, b)), parts.append(data[a : b + SPAN - 1])
-        if not parts:
+            data, pairs = _bytes(text), {(w["start"], w["n"]) for w in wanted}
+            whole = data.tobytes()
+            starts = np.array(sorted({a for a, _ in pairs}))
+            for start, n, key, _, place in phrases(data):
+                for i in np.flatnonzero(np.isin(start, starts)).tolist():
+                    a, k, m = int(start[i]), int(n[i]), int(place[i])
+                    if (a, k) in pairs:
+                        rows.append((int(key[i]), doc, a, k, m, whole[a : a + m][::-1], whole[a + m : a + k + SPAN - 1]))
+        if not rows:
             return None
-        dictionary = np.concatenate(parts)
-        sizes = np.array([len(p) for p in parts])
-        begins = np.cumsum(sizes) - sizes
-        own = np.concatenate([np.arange(b, b + s - SPAN + 1) for b, s in zip(begins, sizes, strict=True)])
-        docs, starts = np.concatenate(docs), np.concatenate(starts)
-        ranks = suffix_ranks(dictionary)[own]
-        order = np.lexsort((starts, docs, ranks))
-        first = order[np.concatenate(([True], ranks[order][1:] != ranks[order][:-1]))]
-        w1, w2 = rolling(dictionary, SPAN, 0)[own[first]].view(np.int64), rolling(dictionary, SPAN, 1)[own[first]].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(docs[first].astype(np.int64)), pa.array(starts[first].astype(np.int64))], ["w1", "w2", "doc_id", "start"])
+        kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "doc_id", "start", "n", "place", "back", "ahead"])
+
+    return map_texts(joined.select("doc_id", "text", "wanted"), work, "key long, doc_id long, start long, n long, place long, back binary, ahead binary")
+
 
-    return map_texts(joined.select("doc_id", "text", "wanted"), work, "w1 long, w2 long, doc_id long, start long")
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (x.bit_length() + 7) // 8
+
+
+def _shared(rows: DataFrame, side: str, out: str) -> DataFrame:
+    """`rows` with the longest common prefix of `side` with any other row of the key.
+
+    Sorted by key and side, that is the longer one with the two neighbours. At the
+    ends of a partition, whose neighbour is elsewhere, the whole length is assumed:
+    a string too many is only compared in vain.
+    """
+    ready = rows.repartitionByRange("key", side).sortWithinPartitions("key", side)
+    names = ready.columns
+    k, s = names.index("key"), names.index(side)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def lengths(batch: pa.RecordBatch, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
+            keys, values = batch.column(k).to_pylist(), batch.column(s).to_pylist()
+            link = [common(a, b) if x == y else 0 for x, y, a, b in zip(keys, keys[1:], values, values[1:], strict=False)]
+            head = len(values[0]) if before is None else (common(before[1], values[0]) if before[0] == keys[0] else 0)
+            tail = len(values[-1]) if after is None else (common(after[1], values[-1]) if after[0] == keys[-1] else 0)
+            best = np.maximum(np.array([head, *link]), np.array([*link, tail]))
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int64))], [*names, out])
+
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield lengths(held, before, (batch.column(k)[0].as_py(), batch.column(s)[0].as_py()))
+                before = (held.column(k)[held.num_rows - 1].as_py(), held.column(s)[held.num_rows - 1].as_py())
+            held = batch
+        if held is not None:
+            yield lengths(held, before, None)
+
+    return ready.mapInArrow(work, f"{', '.join(f'{c} {t}' for c, t in ready.dtypes)}, {out} long")
+
+
+def _strings(rows: DataFrame) -> DataFrame:
+    """(w1, w2, doc_id, start) of the strings that another phrase can share on both sides of the trigger."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, starts, at, parts, base = [], [], [], [], 0
+            for doc, start, n, place, back, ahead, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # String j reaches place - j bytes before the trigger and SPAN - place + j from it on.
+                lo, hi = max(0, place - left), min(n, right - SPAN + place + 1)
+                if lo < hi:
+                    part = back[::-1] + ahead
+                    j = np.arange(lo, hi)
+                    docs.append(np.full(hi - lo, doc)), starts.append(start + j), at.append(base + j), parts.append(part)
+                    base += len(part)
+            if parts:
+                data, at = np.frombuffer(b"".join(parts), np.uint8), np.concatenate(at)
+                w = [pa.array(rolling(data, SPAN, k)[at].view(np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*w, pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(starts).astype(np.int64))], ["w1", "w2", "doc_id", "start"])
+
+    return rows.select("doc_id", "start", "n", "place", "back", "ahead", "left", "right").mapInArrow(work, "w1 long, w2 long, doc_id long, start long")
 
 
 _AT = "cast(cast(doc_id as decimal(38,0)) * 2147483648 + start as decimal(38,0))"
@@ -202,7 +242,7 @@ _START = "cast({0} - cast(floor({0} / 2147483648) as decimal(38,0)) * 2147483648
 
 
 def repeats(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """For every document with a repeat: `spans` of repeated starts, and of `doubtful` starts those that are `first`."""
+    """For every document with a repeat: `spans` of repeated starts, and `doubtful` starts, which repeat unless they are `first`."""
     texts = texts_of(df)
     rows = scratch.write(_trigger_rows(texts), "triggers")
     again = scratch.write(rows.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key"), "again")
@@ -217,16 +257,21 @@ def repeats(df: DataFrame, scratch: Scratch) -> DataFrame:
     dictionary = scratch.write(classes.join(several, "key").select(F.expr(_DOC.format("at")).alias("doc_id"), F.expr(_START.format("at")).alias("start"), "n"), "dictionary")
     scratch.sweep()
     wanted = dictionary.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("wanted"))
-    strings = scratch.write(_first_strings(texts.join(wanted, "doc_id")), "strings")
+    known = scratch.write(_dictionary(texts.join(wanted, "doc_id")), "known")
+    scratch.sweep()
+    strings = scratch.write(_strings(_shared(_shared(known, "back", "left"), "ahead", "right")), "strings")
+    scratch.drop("known")
     scratch.sweep()
     first = strings.groupBy("w1", "w2").agg(F.min(F.expr(_AT)).alias("at")).select(F.expr(_DOC.format("at")).alias("doc_id"), F.expr(_START.format("at")).alias("start"))
     first = scratch.write(first.groupBy("doc_id").agg(F.collect_list("start").alias("first")), "first")
+    scratch.sweep()
+    doubtful = scratch.write(strings.groupBy("doc_id").agg(F.collect_list("start").alias("doubtful")), "doubtful")
     scratch.drop("strings")
     scratch.sweep()
     whole = found.join(classes.select("key", "content", "at"), ["key", "content"]).where(F.expr(_AT) != F.col("at")).select("doc_id", F.struct("start", "n").alias("s"))
     whole = scratch.write(whole.groupBy("doc_id").agg(F.collect_list("s").alias("spans")), "whole")
     scratch.sweep()
-    return whole.join(wanted, "doc_id", "full").join(first, "doc_id", "full").select("doc_id", "spans", F.col("wanted").alias("doubtful"), "first")
+    return whole.join(doubtful, "doc_id", "full").join(first, "doc_id", "full").select("doc_id", "spans", "doubtful", "first")
 
 
 def _covered(size: int, spans: list | None, doubtful: list | None, first: list | None) -> np.ndarray:
@@ -237,8 +282,9 @@ def _covered(size: int, spans: list | None, doubtful: list | None, first: list |
         starts[min(s["start"], size)] += 1
         starts[min(s["start"] + s["n"], size)] -= 1
     repeated = np.cumsum(starts) > 0
-    for s in doubtful or ():
-        maybe[s["start"] : s["start"] + s["n"]] = True
+    if doubtful:
+        at = np.asarray(doubtful)
+        maybe[at[at <= size]] = True
     if first:
         at = np.asarray(first)
         maybe[at[at <= size]] = False
