@@ -55,11 +55,9 @@ def _masked(pattern: str, mask: str, source: str = "documents", key: str = "doc_
 
 
 _PARTIAL = "CASE WHEN length(x) > 8 THEN left(x, 2) || '****' || right(x, 2) ELSE repeat('*', length(x)) END"
-_SHOWN = ("doc_id", F.size(F.flatten(F.transform("found", lambda x: x["spans"]))).cast("long").alias("n"), F.sha2("edited", 256).alias("edited"))
-
-
 def _show(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    return df.select(key, *_SHOWN[1:])
+    spans = F.size(F.flatten(F.transform("found", lambda x: x["spans"])))
+    return df.select(key, spans.cast("long").alias("n"), F.sha2("edited", 256).alias("edited"))
 
 
 @query(_masked(EMAIL, _PARTIAL))
