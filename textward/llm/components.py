@@ -82,6 +82,7 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
         if not total[0]:
             break
         if settle is not None and step >= rounds:
+            scratch.sweep()
             found = scratch.write(settle(rows), "settled")
             links = found if links is None else links.union(found)
             break
@@ -109,7 +110,9 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, f"pairs-{step}")
+        scratch.sweep()
         found = scratch.write(verify(pairs), f"links-{step}")
+        scratch.sweep()
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         if last:
