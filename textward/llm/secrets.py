@@ -11,7 +11,8 @@ largest that still recalls `RECALL` of the keys there.
 Spans are code points, end exclusive. What the patterns find always stays; the
 network adds candidates that no pattern's span meets. Null text counts as empty;
 repeated rows are scanned each; a candidate longer than the network's window is
-read at its head and at its tail; further columns are ignored.
+read in overlapping windows from head to tail, and its best one counts; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +39,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _HINT = re.compile(r"[:=]")
 
 LEFT, CORE, RIGHT = 24, 40, 12
+#: Windows over a long candidate start so far apart; any 20 characters in a row lie in one of them.
+STRIDE = 20
 SEED, RECALL, FINDINGS = 20240, 0.98, 3000
 _WIDTH, _FILTERS, _EMBED = 5, 24, 8
 _ALPHABET = string.printable[:95]
@@ -69,7 +73,7 @@ def windows_of(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.
     """Codes of a candidate and its context, and which span each row belongs to."""
     rows, owner = [], []
     for k, (a, b) in enumerate(spans):
-        for start in {a, max(a, b - CORE)}:
+        for start in [*range(a, b - CORE, STRIDE), max(a, b - CORE)]:
             stop = min(b, start + CORE)
             left, right = text[max(0, start - LEFT) : start].rjust(LEFT), text[stop : stop + RIGHT].ljust(RIGHT)
             rows.append(left + text[start:stop].ljust(CORE, "\0") + right)
@@ -78,6 +82,24 @@ def windows_of(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.
     return _CODE[raw], np.array(owner, np.int64)
 
 
+def blocks_of(text: str, spans: list[tuple[int, int]], size: int = 2048 * STRIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The windows of all spans in blocks of bounded size, however long a candidate is."""
+    part, owner, held = [], [], 0
+    for k, (a, b) in enumerate(spans):
+        # Pieces overlap by less than a window, so that every window of the whole is in one of them.
+        for start in range(a, max(a + 1, b - CORE), size):
+            part.append((start, min(b, start + size + CORE)))
+            owner.append(k)
+            held += part[-1][1] - start + CORE
+            if held >= size:
+                codes, own = windows_of(text, part)
+                yield codes, np.array(owner, np.int64)[own]
+                part, owner, held = [], [], 0
+    if part:
+        codes, own = windows_of(text, part)
+        yield codes, np.array(owner, np.int64)[own]
+
+
 class CharNetwork:
     """Embedding, convolution, maximum over candidate and context, logistic output; Adam by hand."""
 
@@ -202,7 +224,9 @@ def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             run += pick(both, 16) if key else "-" + "-".join(words(4))
         left = " ".join(words(r.integers(0, 6))) + " " + before
         text = left + run + ["\" ", "' ", " ", "\n", ", ", ""][r.integers(6)] + " ".join(words(3))
-        rows.append(windows_of(text, [(len(left), len(left) + len(run))])[0][0])
+        a, b = len(left), len(left) + len(run)
+        # The head or the tail of a long finding.
+        rows.append(windows_of(text, [(a, b)])[0][0 if next(iter({a, max(a, b - CORE)})) == a else -1])
         y.append(float(key))
     return np.array(rows), np.array(y)
 
@@ -224,9 +248,9 @@ def scan(text: str | None, net: CharNetwork) -> list[tuple[int, int, int]]:
     if not found:
         return base
     # Every candidate is scored; those that a fixed pattern has found already stay that pattern's.
-    codes, owner = windows_of(text, found)
     best = np.zeros(len(found))
-    np.maximum.at(best, owner, net.probability(codes))
+    for part, owner in blocks_of(text, found):
+        np.maximum.at(best, owner, net.probability(part))
     added = [(a, 3, b) for (a, b), p in zip(found, best, strict=True) if p >= net.threshold and not any(s < b and a < e for s, _, e in base)]
     return sorted(base + added)
 
