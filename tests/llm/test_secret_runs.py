@@ -33,3 +33,24 @@ def test_blocks_hold_every_window():
     want = {(k, w.tobytes()) for k, w in zip(owner.tolist(), whole, strict=True)}
     got = {(k, w.tobytes()) for part, own in secrets.blocks_of(text, spans, 5 * secrets.STRIDE) for k, w in zip(own.tolist(), part, strict=True)}
     assert got == want and np.array_equal(np.bincount(owner), [1, 13, 29])
+
+
+def test_threshold_keeps_the_recall_of_the_scan():
+    net = secrets.trained()
+    for seed, least in ((secrets.SEED + 3, secrets.RECALL), (901, 0.975), (902, 0.975), (903, 0.975)):
+        hits = []
+        for text, a, b, key in secrets.labelled(secrets.FINDINGS, seed):
+            if key and not any(s < b and a < e for s, _, e in secrets.base_spans(text)):
+                hits.append(any(s < b and a < e for s, _, e in secrets.scan(text, net)))
+        assert np.mean(hits) >= least
+
+
+def test_threshold_has_no_floor():
+    net, r = secrets.CharNetwork(), np.random.default_rng(1)
+    x, y = r.normal(0, 1, 400), np.tile([1.0, 0.0], 200)
+    net.calibrate(x, y, np.zeros(400, bool))
+    p = 1 / (1 + np.exp(-(net.scale * x + net.shift)))
+    assert net.threshold < 0.5 and (p[y > 0] >= net.threshold).mean() >= secrets.RECALL
+    x[:16:2] = -np.inf
+    net.calibrate(x, y, np.zeros(400, bool))
+    assert net.threshold <= 0

@@ -6,7 +6,8 @@ characters, one convolution, the maximum over the candidate and over its context
 a logistic output. It is trained on labelled findings made up from a seed: keys
 of many shapes against numbers, paths, versions, dates and words. On findings
 kept out of training its output is calibrated (Platt), and the threshold is the
-largest that still recalls `RECALL` of the keys there.
+largest with which the scan's candidates still recall `RECALL` of the keys there
+that no pattern finds.
 
 Spans are code points, end exclusive. What the patterns find always stays; the
 network adds candidates that no pattern's span meets. Null text counts as empty;
@@ -166,23 +167,32 @@ class CharNetwork:
                     s[k] = 0.999 * s[k] + 0.001 * x * x
                     self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, codes: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling by Newton steps, then the recall-constrained threshold."""
-        x, target = self.raw(codes), np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    def calibrate(self, x: np.ndarray, y: np.ndarray, found: np.ndarray) -> None:
+        """Platt scaling by Newton steps, then the recall-constrained threshold.
+
+        `x` is each finding's raw score in the scan, -inf where the scan scores
+        nothing of it, which counts as a miss; `found` says which ones a fixed pattern
+        finds, and the recall is that of the other keys.
+        """
+        seen = np.isfinite(x)
+        x_, y_ = x[seen], y[seen]
+        target = np.where(y_ > 0, (y_.sum() + 1) / (y_.sum() + 2), 1 / ((1 - y_).sum() + 2))
         a, b = 1.0, 0.0
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
+            p = 1 / (1 + np.exp(-np.clip(a * x_ + b, -40, 40)))
             w, d = p * (1 - p) + 1e-9, p - target
-            h = np.array([[w @ (x * x) + 1e-3, w @ x], [w @ x, w.sum() + 1e-3]])
-            step = np.linalg.solve(h, np.array([d @ x, d.sum()]))
+            h = np.array([[w @ (x_ * x_) + 1e-3, w @ x_], [w @ x_, w.sum() + 1e-3]])
+            step = np.linalg.solve(h, np.array([d @ x_, d.sum()]))
             a, b = max(0.05, a - float(np.clip(step[0], -1, 1))), b - float(np.clip(step[1], -2, 2))
         self.scale, self.shift = a, b
-        kept = np.sort(self.probability(codes)[y > 0])
-        self.threshold = max(0.5, float(kept[int(np.floor((1 - RECALL) * len(kept)))]))
+        p = np.where(seen, 1 / (1 + np.exp(-np.clip(a * np.where(seen, x, 0) + b, -40, 40))), 0)
+        kept = np.sort(p[(y > 0) & ~found])
+        # A little less, as the same row differs in its last bits from batch to batch.
+        self.threshold = float(kept[int(np.floor((1 - RECALL) * len(kept)))]) - 1e-9
 
 
-def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled findings in context: keys (1) and what only looks like one (0)."""
+def labelled(n: int, seed: int) -> list[tuple[str, int, int, float]]:
+    """Labelled findings in context, as (text, start, end, label): keys (1) and what only looks like one (0)."""
     r = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(chars[i] for i in r.integers(0, len(chars), int(k)))
     lower, digits, both = string.ascii_lowercase, string.digits, string.ascii_letters + string.digits
@@ -216,7 +226,7 @@ def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     ]
     before_key = ["token = \"", "secret: ", "password=", "api_key: '", "key ", "auth ", "", "", "", "bearer "]
     before_other = ["see ", "file ", "version ", "ref. ", "", "", "", "at ", "no. ", "key "]
-    rows, y = [], []
+    out = []
     for i in range(n):
         key = i % 2 == 0
         run, before = (keys[r.integers(len(keys))](), before_key[r.integers(10)]) if key else (others[r.integers(len(others))](), before_other[r.integers(10)])
@@ -224,19 +234,42 @@ def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             run += pick(both, 16) if key else "-" + "-".join(words(4))
         left = " ".join(words(r.integers(0, 6))) + " " + before
         text = left + run + ["\" ", "' ", " ", "\n", ", ", ""][r.integers(6)] + " ".join(words(3))
-        a, b = len(left), len(left) + len(run)
-        # The head or the tail of a long finding.
+        out.append((text, len(left), len(left) + len(run), float(key)))
+    return out
+
+
+def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of labelled findings, one each: the head or the tail of a long one."""
+    rows, y = [], []
+    for text, a, b, label in labelled(n, seed):
         rows.append(windows_of(text, [(a, b)])[0][0 if next(iter({a, max(a, b - CORE)})) == a else -1])
-        y.append(float(key))
+        y.append(label)
     return np.array(rows), np.array(y)
 
 
+def scanned(net: CharNetwork, rows: list[tuple[str, int, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a scan makes of labelled findings: best raw score of the candidates that meet each, label, whether a pattern meets it."""
+    codes, owner = [], []
+    found = np.zeros(len(rows), bool)
+    for k, (text, a, b, _) in enumerate(rows):
+        found[k] = any(s < b and a < e for s, _, e in base_spans(text))
+        spans = [(s, e) for s, e in candidates(text) if s < b and a < e]
+        if spans:
+            part = windows_of(text, spans)[0]
+            codes.append(part)
+            owner += [k] * len(part)
+    best = np.full(len(rows), -np.inf)
+    if codes:
+        np.maximum.at(best, np.array(owner), net.raw(np.concatenate(codes)))
+    return best, np.array([y for *_, y in rows]), found
+
+
 @lru_cache(maxsize=1)
 def trained() -> CharNetwork:
     """The network; the same on every call, by its seed."""
     net = CharNetwork()
     net.train(*findings(FINDINGS, SEED + 2))
-    net.calibrate(*findings(FINDINGS, SEED + 3))
+    net.calibrate(*scanned(net, labelled(FINDINGS, SEED + 3)))
     return net
 
 
