@@ -332,7 +332,7 @@ def json_embedded(spark, sf_dir):
 
 @query()
 def chunk_spans(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.explode(G.chunks(F.col("text"), 1024)).alias("s")).select("doc_id", "s.start", "s.end")
+    return _documents(spark, sf_dir).select("doc_id", F.explode(G.chunks(F.col("text"), 1024, most=None)).alias("s")).select("doc_id", "s.start", "s.end")
 
 
 @query()
