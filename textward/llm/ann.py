@@ -5,16 +5,19 @@ each codebook. The codebooks are fitted to residuals on a bounded sample and the
 refitted in turn, each to what the others leave; every vector is encoded by beam search. With
 the codes the norm of the approximation is stored. A query makes one lookup table
 a codebook; the sum of a row's entries over its norm is its approximate cosine.
-The best `RERANK` are ranked again by the exact cosine of the original vectors.
+Vectors of the best `RERANK` codes are ranked again by their exact cosine.
 
-Equal vectors are one class, encoded and scored once, with the smallest ids that
-a result can need. Queries and classes meet in blocks of bounded size; the best
+Equal vectors are one class, encoded once, with the smallest ids that a result can
+need. Classes of equal codes, such as rescaled or nearly equal vectors, are one
+candidate, scored once; all of them are ranked exactly where their code is chosen,
+so the pairs compared grow with a dense group's size times its queries.
+Queries and codes meet in blocks of bounded size; the best
 of the blocks merge in levels, so that no task gathers what grows with the table.
 
 Vectors that are null or zero, hold null or non-finite components, or have
 another length than most of the sample take no part. Rows without vec_id take no
-part. Rows that repeat an id with the same vector count once. Ties go to the
-smaller vec_id. Further columns are ignored; an empty table gives no rows.
+part. Rows that repeat an id with the same vector count once. Ties, to twelve
+decimals of the cosine, go to the smaller vec_id. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from textward.session import Scratch, ship
 
 #: Rows the codebooks are fitted to, codebooks, codewords in each, and beams.
 SAMPLE, BOOKS, WORDS, BEAMS = 12_000, 16, 256, 6
-#: Candidates of a query that are ranked exactly; classes and queries in a block.
+#: Codes of a query whose vectors are ranked exactly; codes and queries in a block.
 RERANK, BLOCK, QUERIES = 256, 8192, 256
 
 
@@ -157,19 +160,26 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     merged = lambda d, *by: d.groupBy(*by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.first("vector").alias("vector"))
     once = rows.mapInArrow(distinct, "h1 long, h2 long, ids array<long>, vector binary").withColumn("salt", F.pmod(F.element_at("ids", 1), F.lit(64)))
     classes = scratch.write(merged(merged(once, "h1", "h2", "salt"), "h1", "h2"), "classes")
-    n = classes.count()
-    if not n:
-        return empty
-    blocks = -(-n // BLOCK)
 
     def encoded(batches):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, dimension)
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dimension)
             if len(x):
                 c, norms = shared.value.encode(_unit(x))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in c], pa.binary()), pa.array(norms)], ["h1", "h2", "codes", "norm"])
-
-    coded = classes.select("h1", "h2", "vector").mapInArrow(encoded, "h1 long, h2 long, codes binary, norm float").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.lit(blocks)))
+                c = [r.tobytes() for r in c]
+                heads = np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=16).digest() for r in c), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads[:, 0].copy()), pa.array(heads[:, 1].copy()), pa.array(c, pa.binary()), pa.array(norms)], ["ids", "vector", "h1", "h2", "codes", "norm"])
+
+    # From here on h1 and h2 name a code; classes that share one are told apart by their vectors alone.
+    kept = scratch.write(classes.select("ids", "vector").mapInArrow(encoded, "ids array<long>, vector binary, h1 long, h2 long, codes binary, norm float"), "encoded")
+    scratch.drop("classes")
+    classes = kept.select("h1", "h2", "ids", "vector")
+    coded = scratch.write(kept.groupBy("h1", "h2").agg(F.min("codes").alias("codes"), F.min("norm").alias("norm")), "codes")
+    n = coded.count()
+    if not n:
+        return empty
+    blocks = -(-n // BLOCK)
+    coded = coded.select("h1", "h2", "codes", "norm").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.lit(blocks)))
 
     def pack_rows(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -192,7 +202,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     questions = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("part").applyInArrow(pack_queries, "part long, queries binary")
 
-    # Every block of queries meets every block of classes, by an equi-join on both numbers.
+    # Every block of queries meets every block of codes, by an equi-join on both numbers.
     left = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     right = questions.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     met = left.join(right, ["block", "part"]).select("block", "n", "codes", "queries")
@@ -239,5 +249,5 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     scored = pairs.mapInArrow(exact, "query_id long, ids array<long>, score double").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
     from pyspark.sql import Window
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most RERANK * (k + 1) rows a query
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")  # each task keeps k rows a query before the shuffle
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
