@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textward.session import Scratch
@@ -17,9 +17,15 @@ from textward.session import Scratch
 LEFTOVER = 2
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+#: Pairs per candidate that may be compared at once after the first round.
+AT_ONCE = 16
+
+
+def _written(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
+    """The edges (u, v) as written, and their number and checksum, taken while they were."""
+    seen = Observation()
+    out = scratch.write(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), name)
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -28,10 +34,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Large-star and small-star steps in turn, until no edge changes: then every id
     hangs directly on its component's smallest id.
     """
-    now = scratch.write(
-        edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0"
-    )
-    state, k = _state(now), 0
+    now, state = _written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch, f"{name}-0")
+    k = 0
     while state[0]:
         k += 1
         both = now.union(now.select("v", "u"))
@@ -39,8 +43,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
-        after = scratch.write(small, f"{name}-{k}")
-        found = _state(after)
+        after, found = _written(small, scratch, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         now = after
         if found == state:
@@ -49,6 +52,34 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
+def link_from_first(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """As `link`, of buckets (key, id, lo) that name their smallest id, in few steps.
+
+    All members are compared with that one. What then is in buckets of several
+    components is compared at once, if that is at most `AT_ONCE` pairs for each
+    candidate; otherwise by `link`.
+    """
+    first = scratch.write(buckets.where("id != lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "first")
+    links = scratch.write(verify(first), "links-first")
+    scratch.sweep()
+    comp = components(links, scratch, "comp-first")
+    rows = buckets.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lowest"), F.max("c").alias("highest"), F.count("*").alias("n")).where("lowest != highest")
+    seen = Observation()
+    mixed = scratch.write(mixed.select("key", "n").observe(seen, F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")), "mixed")
+    if not seen.get["rows"]:
+        return links
+    opened = scratch.write(rows.join(mixed, "key"), "opened")
+    scratch.sweep()
+    if seen.get["pairs"] > AT_ONCE * seen.get["rows"]:
+        return links.union(link(opened.select("key", "id", F.lit(1).alias("size")), verify, scratch))
+    one, two = opened.select("key", F.col("id").alias("a"), "c"), opened.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
+    pairs = one.join(two, "key").where("a < b and c != d").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    links = links.union(scratch.write(verify(pairs), "links-rest"))
+    scratch.sweep()
+    return links
+
+
 def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, settle: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
     """(a, b) links that connect all candidates which any link connects.
 
