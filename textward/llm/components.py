@@ -6,7 +6,9 @@ aggregated before the shuffle, and joins on a hot key can be split.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ from textward.session import Scratch
 LEFTOVER = 2
 
 
-#: Pairs per candidate that may be compared at once after the first round.
-AT_ONCE = 16
+#: Pairs that meet in one block, for each row of the open buckets.
+AT_ONCE = 64
 
 
 def _written(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
@@ -52,32 +54,60 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def link_from_first(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """As `link`, of buckets (key, id, lo) that name their smallest id, in few steps.
+def link_by_middle(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, marks: DataFrame, enough: int) -> DataFrame:
+    """As `link`, of buckets (key, id, n) with their number of members, in few steps.
 
-    All members are compared with that one. What then is in buckets of several
-    components is compared at once, if that is at most `AT_ONCE` pairs for each
-    candidate; otherwise by `link`.
+    The middle of a bucket is the member that shares buckets with the most others: of
+    copies of one text, the one that the others vary. All members are compared with
+    it; then, in buckets of several components, those outside its component with
+    the middle of these. What still is in several components meets within its
+    bucket, in blocks: a pair that has not `enough` equal columns of `marks` (id and
+    columns) is no row, the others are verified.
     """
-    first = scratch.write(buckets.where("id != lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "first")
-    links = scratch.write(verify(first), "links-first")
-    scratch.sweep()
-    comp = components(links, scratch, "comp-first")
-    rows = buckets.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lowest"), F.max("c").alias("highest"), F.count("*").alias("n")).where("lowest != highest")
+    score = buckets.groupBy("id").agg(F.sum("n").alias("score"))
+    opened = scratch.write(buckets.join(score, "id").select("key", "id", "score", F.col("id").alias("c"), F.lit(None).cast("long").alias("main")), "open-0")
+    links: DataFrame | None = None
+    tested: DataFrame | None = None
+    for step in (0, 1):
+        outer = opened if step == 0 else opened.where("c != main")
+        middle = outer.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("m"), "c")).alias("p")).select("key", (-F.col("p.m")).alias("p"), F.col("p.c").alias("pc"))
+        pairs = outer.join(middle, "key").where("c != pc").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = scratch.write(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{step}")
+        found = scratch.write(verify(pairs), f"links-{step}")
+        links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
+        scratch.sweep()
+        opened, rows, crossing = _open(opened, links, scratch, f"step-{step}")
+        if not rows:
+            return links
+    names = [c for c in marks.columns if c != "id"]
+    marked = opened.join(marks, "id")
+    marked = scratch.write(marked, "marked")
+    blocks = max(1, math.ceil(crossing / (AT_ONCE * rows)))
+    one = marked.select("key", F.col("id").alias("a"), "c", *(F.col(m).alias(f"x{m}") for m in names))
+    two = marked.select("key", F.col("id").alias("b"), F.col("c").alias("d"), *(F.col(m).alias(f"y{m}") for m in names))
+    agree = reduce(lambda x, y: x + y, (F.when(F.col(f"x{m}") == F.col(f"y{m}"), 1).otherwise(0) for m in names))
+    both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    for k in range(blocks):
+        mine = F.pmod(F.xxhash64("a", "b"), F.lit(blocks)) == k
+        met = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & mine & (agree >= enough))
+        rest = met.select("a", "b").distinct().join(both.where(mine), ["a", "b"], "left_anti")
+        links = links.union(scratch.write(verify(rest), f"rest-{k}"))
+        scratch.sweep()
+    return links
+
+
+def _open(rows: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int, float]:
+    """The rows of the buckets of several components, with `main`, the largest there; how many they are, and how many pairs cross."""
+    comp = components(links, scratch, name)
+    rows = rows.select("key", "id", "score").join(comp, "id", "left").select("key", "id", "score", F.coalesce("component", "id").alias("c"))
+    sizes = rows.groupBy("key", "c").agg(F.count("*").alias("s"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("s", "c")).alias("m"), F.sum("s").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q"), F.count("*").alias("k"))
     seen = Observation()
-    mixed = scratch.write(mixed.select("key", "n").observe(seen, F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")), "mixed")
+    mixed = mixed.where("k > 1").select("key", F.col("m.c").alias("main"), "n", "q").observe(seen, F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"))
+    mixed = scratch.write(mixed.select("key", "main"), f"{name}-mixed")
     if not seen.get["rows"]:
-        return links
-    opened = scratch.write(rows.join(mixed, "key"), "opened")
-    scratch.sweep()
-    if seen.get["pairs"] > AT_ONCE * seen.get["rows"]:
-        return links.union(link(opened.select("key", "id", F.lit(1).alias("size")), verify, scratch))
-    one, two = opened.select("key", F.col("id").alias("a"), "c"), opened.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    pairs = one.join(two, "key").where("a < b and c != d").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(scratch.write(verify(pairs), "links-rest"))
-    scratch.sweep()
-    return links
+        return rows, 0, 0.0
+    return scratch.write(rows.join(mixed, "key"), f"{name}-open"), seen.get["rows"], seen.get["pairs"]
 
 
 def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, settle: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
