@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from textward import cases
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["pii_email_mask", "secrets_hmac", "reading_time_truncate", "allowed_tools", "url_items", "toxicity_threshold", "decision", "history_fit", "token_roundtrip"]
+CHECKED = ["pii_email_mask", "secrets_hmac", "reading_time_truncate", "allowed_tools", "url_items", "toxicity_threshold", "decision", "history_fit", "token_roundtrip", "terms_join", "tool_result_text", "chunk_whole", *cases.QUERIES]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -2,19 +2,23 @@ import hashlib
 import hmac
 import re
 import time
+import unicodedata
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from textward.functions import aligned as A
 from textward.functions import spans as S
 from textward.functions import text as T
 from textward.operators import check as C
 from textward.operators import joins as J
 from textward.operators import judge as G
+from textward.operators import judgments as D
 from textward.operators import policies as P
-from textward.plans.config import policies_from
+from textward.operators.planning import pieces
+from textward.plans.config import judgments_from, policies_from
 from textward.sources import hooks as H
 from textward.streaming.replies import assemble
 
@@ -25,9 +29,52 @@ def frame(spark, *texts):
 
 def test_spans_are_code_points(spark):
     texts = ["a1b22", "", "é😀 12 x", "no", "7"]
-    rows = frame(spark, *texts).select("text", S.found(F.col("text"), "[0-9]+").alias("s")).collect()
+    rows = C.findings_of(frame(spark, *texts), P.Regex(patterns=("[0-9]+",)), "untrusted").select("text", "found").collect()
     for r in rows:
-        assert [(x["start"], x["end"]) for x in r["s"]] == [m.span() for m in re.finditer("[0-9]+", r["text"])]
+        assert [(s["start"], s["end"]) for x in r["found"] for s in x["spans"]] == [m.span() for m in re.finditer("[0-9]+", r["text"])]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=20), st.lists(st.tuples(st.integers(0, 20), st.integers(0, 4), st.text(max_size=3)), max_size=5), st.lists(st.tuples(st.integers(0, 20), st.integers(0, 4), st.text(max_size=3)), max_size=5))
+def test_aligned_equals_a_map_by_character(text, one, two):
+    view, places = A.Aligned(text), [(i, i + 1) for i in range(len(text))]
+    for drawn in (one, two):
+        edits, at = [], 0
+        for start, size, new in sorted(drawn):
+            if at <= start and start + size <= len(view.text):
+                edits.append((start, start + size, new))
+                at = start + size
+        out, at = [], 0
+        for start, end, new in edits:
+            low, high = view.origin(start, end)
+            out += places[at:start] + [(low, high)] * len(new)
+            at = end
+        places = out + places[at:]
+        view = view.edited(edits)
+    assert len(places) == len(view.text)
+    assert [view.origin(i, i + 1) for i in range(len(view.text))] == places
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=30) | st.text("aeK１ＡﾞﾊがßİﬁΣ\u0301\u0327\u200d\u00ad각ᄀ", max_size=15))
+def test_views_equal_their_definition(text):
+    table = {ord("l"): "1", ord("m"): "rn"}
+    plain = unicodedata.normalize("NFKC", text)
+    assert A.normalized(A.Aligned(text), "NFKC").text == plain
+    assert A.plain_view(text).text == A.IGNORABLE.sub("", plain)
+    view = A.folded_view(text, table)
+    folded = unicodedata.normalize("NFD", A.IGNORABLE.sub("", plain.casefold()))
+    assert view.text == unicodedata.normalize("NFD", folded.translate(table))
+    spans = [view.origin(i, i + 1) for i in range(len(view.text))]
+    assert all(0 <= a <= b <= len(text) for a, b in spans)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab \n", min_size=1, max_size=300), st.integers(4, 60))
+def test_pieces_cover(text, room):
+    found = pieces(text, room)
+    assert found[0][0] == 0 and found[-1][1] == len(text) and all(b - a <= room for a, b in found)
+    assert all(a < c <= b for (a, b), (c, _) in zip(found, found[1:], strict=False))
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -92,8 +139,9 @@ def test_restore_only_authorized(spark):
 
 
 def test_placeholders_are_escaped_once(spark):
-    df = frame(spark, "[TW_PII_x] [TW_LITERAL_PII_x]").select(P.escape_placeholders(F.col("text")).alias("t"))
-    assert df.first()["t"] == "[TW_LITERAL_PII_x] [TW_LITERAL_PII_x]"
+    once = P.escape_placeholders(F.col("text"))
+    row = frame(spark, "[TW_PII_x] [TW:PII_x]").select(once.alias("a"), P.escape_placeholders(once).alias("b")).first()
+    assert row["a"] == row["b"] == "[TW:PII_x] [TW:PII_x]"
 
 
 def test_fold_finds_lookalikes(spark):
@@ -124,10 +172,63 @@ def test_chunks_cover(spark):
 
 
 def test_hooks(spark):
-    df = spark.createDataFrame([('{"hook_event_name":"Stop"}',), ("nonsense",)], "value string")
-    assert [r["stage"] for r in H.events(df).collect()] == ["output", None]
+    df = spark.createDataFrame([('{"hook_event_name":"Stop","last_assistant_message":"x"}',), ("nonsense",)], "value string")
+    assert [(r["stage"], r["outcome"]) for r in H.events(df, "codex").collect()] == [("output", "check"), (None, "reject")]
     df = spark.createDataFrame([('{"stdout":"a","stderr":"b"}',), ('{"content":"c"}',)], "v string")
     assert [r[0] for r in df.select(H.tool_text(F.col("v"))).collect()] == ["a\nb", "c"]
+    said = spark.createDataFrame([('{"ok":true,"decision":"allow","onward":"x"}',), ("broken",)], "v string").select(H.decided(F.col("v")).alias("d"))
+    assert [(r["d"]["ok"], r["d"]["decision"]) for r in said.collect()] == [(True, "allow"), (False, "block")]
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = frame(spark, "a clown").withColumns({c: F.lit("mine") for c in ("found", "score", "judgment", "__all", "edited", "sanitized", "x")})
+    out = C.check(df, "input", [P.Substrings(terms=("clown",))])
+    row = out.first()
+    assert row["found"] == row["score"] == row["__all"] == row["edited"] == "mine" and row["decision"] == "block" and len(set(out.columns)) == len(out.columns)
+
+
+def test_policies_keep_their_contract(spark):
+    for bad in (([("no label!", "flag", [])], []), ([("x", "shout", [])], []), ([("x", "flag", [(0, 99)])], []), ([], [(0, 2, "a"), (1, 3, "b")]), None):
+        with pytest.raises(P.PolicyFailure):
+            P.checked(P.Transform(name="t"), bad, 5)
+
+
+def test_judgments_are_validated():
+    yes, pick, level = D.YesNo("?"), D.Choice("?", ("a", "b")), D.Score("?", ("x", "y"))
+    for make in (
+        lambda: D.judge("1x", yes, threshold=0.5), lambda: D.judge("x", {}, threshold=0.5), lambda: D.judge("x", yes, threshold=2), lambda: D.judge("x", yes, threshold=0.5, violating=("a",)),
+        lambda: D.judge("x", pick, threshold=0.5), lambda: D.judge("x", pick, threshold=0.5, violating=("c",)), lambda: D.judge("x", level, threshold=0.5, violation_level=2),
+        lambda: D.judge("x", yes, threshold=0.5, context="required"), lambda: D.judge("x", yes, threshold=0.5, max_items=2), lambda: D.Choice("?", ("a",)), lambda: D.Score("?", ("a", "a")),
+        lambda: D.hazards(["S99"], threshold=0.5), lambda: D.language(["other"], threshold=0.5), lambda: D.code("maybe", ["sql"], threshold=0.5), lambda: D.Threshold(0.5, 0.6),
+    ):
+        with pytest.raises(P.PolicyError):
+            make()
+
+
+def test_dumps_are_bound_to_key_and_scope(spark):
+    store = spark.createDataFrame([("s", T.token_of(b"k" * 32, "v"), "v")], "scope_id string, token string, value string")
+    sealed = J.dumped(store, b"k" * 32)
+    assert J.loaded(sealed, b"k" * 32, b"k" * 32).collect() == store.collect()
+    for wrong in (J.loaded(sealed, b"j" * 32), J.loaded(sealed.withColumn("scope_id", F.lit("t")), b"k" * 32), J.loaded(sealed, b"k" * 32, b"x" * 32)):
+        with pytest.raises(Exception):  # noqa: B017
+            wrong.collect()
+
+
+def test_one_conversation_a_check(spark):
+    df = spark.createDataFrame([(1, "a", "a"), (2, "b", None)], "id int, s string, t string")
+    assert J.one_scope(df, "id", ["s", "t"]).count() == 2
+    with pytest.raises(Exception):  # noqa: B017
+        J.one_scope(df.withColumn("t", F.lit("c")), "id", ["s", "t"]).collect()
+
+
+def test_folding_is_linear():
+    text = "é" * 20_000
+    times = []
+    for k in (1, 4):
+        began = time.perf_counter()
+        A.folded_view(text * k, {})
+        times.append(max(time.perf_counter() - began, 0.02))
+    assert times[1] < 8 * times[0]
 
 
 def test_limits_and_json(spark):
@@ -144,6 +245,11 @@ def test_configuration():
     for bad in ("{", '{"guards": {"other": {}}}', '{"guards": {"pii": {"x": 1}}}', '{"guards": {"reading_time": {"most": true}}}', '{"guards": {"reading_time": {"most": 0}}}'):
         with pytest.raises(P.PolicyError):
             policies_from(bad)
+    asked = judgments_from('{"guards": {"injection": {"threshold": 0.7}, "topics": {"threshold": {"block_at": 0.9, "flag_at": 0.5}, "deny": ["x y"]}, "pii": {}}}')
+    assert [j.name for j in asked] == ["injection", "topics"] and list(asked[1].questions) == ["x_y"]
+    for bad in ('{"guards": {"injection": {}}}', '{"guards": {"injection": {"threshold": "high"}}}', '{"guards": {"injection": {"threshold": 0.5, "other": 1}}}'):
+        with pytest.raises(P.PolicyError):
+            judgments_from(bad)
 
 
 def test_streamed_replies(spark, tmp_path):

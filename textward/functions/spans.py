@@ -2,104 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int>>"
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def none() -> Column:
     return F.array().cast(SPAN)
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Spans of all matches, leftmost and non-overlapping; the pattern must not match the empty string.
-
-    The gaps between matches and the matches alternate, so their lengths add up
-    to the offsets. Rows without a match skip the work.
-    """
-    gaps, hits = F.transform(F.split(text, pattern, -1), F.length), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    start = F.struct(F.lit(0).alias("at"), none().alias("out"))
-    steps = F.arrays_zip(gaps.alias("g"), hits.alias("h"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["g"]
-        end = begin + F.coalesce(x["h"], F.lit(0))
-        more = F.when(x["h"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))))
-        return F.struct(end.alias("at"), more.cast(SPAN).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda s: s["out"])).otherwise(none())
-
-
-def end_of(text: Column, pattern: str, n: int) -> Column:
-    """Where the n-th match ends; at the last match's end, if there are fewer."""
-    total = lambda parts: F.aggregate(F.slice(F.transform(parts, F.length), 1, n), F.lit(0), lambda a, x: a + x)
-    return total(F.split(text, pattern, -1)) + total(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-
-
 def merged(spans: Column) -> Column:
-    """Sorted, with overlapping and touching spans joined."""
-
-    def step(out: Column, x: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(out) > 0) & (x["start"] <= last["end"]), joined).otherwise(F.concat(out, F.array(x))).cast(SPAN)
-
-    return F.when(F.size(spans) <= 1, spans).otherwise(F.aggregate(F.array_sort(spans), none(), step))
-
-
-def non_overlapping(hits: Column, kind: str) -> Column:
-    """Hits with `start` and `end`, the earlier and longer first; one that starts before the last kept end is dropped."""
-    order = F.array_sort(hits, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-
-    def step(out: Column, x: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        return F.when((F.size(out) > 0) & (x["start"] < last["end"]), out).otherwise(F.concat(out, F.array(x))).cast(kind)
-
-    return F.when(F.size(hits) <= 1, hits).otherwise(F.aggregate(order, F.array().cast(kind), step))
-
-
-def replaced(text: Column, edits: Column) -> Column:
-    """The text with sorted, non-overlapping edits (start, end, replacement) applied."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        kept = F.substring(text, state["at"] + 1, x["start"] - state["at"])
-        return F.struct(x["end"].alias("at"), F.concat(state["out"], kept, x["replacement"]).alias("out"))
-
-    return F.when(F.size(edits) == 0, text).otherwise(
-        F.aggregate(edits, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    )
-
-
-def before(position: Column, edits: Column, end: bool) -> Column:
-    """Where a position of an edited text was before the edits; inside a replacement it is that edit's near or far end."""
-    begin = F.struct(F.lit(0).alias("shift"), F.lit(-1).alias("fixed"))
-
-    def step(state: Column, x: Column) -> Column:
-        lo = x["start"] + state["shift"]
-        hi = lo + F.length(x["replacement"])
-        inside = (position > lo) & (position < hi) if not end else (position > lo) & (position < hi)
-        fixed = F.when(state["fixed"] >= 0, state["fixed"]).when(inside, x["end"] if end else x["start"]).otherwise(F.lit(-1))
-        past = position >= hi if not end else position > lo
-        shift = F.when(past, state["shift"] + F.length(x["replacement"]) - (x["end"] - x["start"])).otherwise(state["shift"])
-        return F.struct(shift.cast("int").alias("shift"), fixed.cast("int").alias("fixed"))
-
-    return F.aggregate(edits, begin, step, lambda s: F.when(s["fixed"] >= 0, s["fixed"]).otherwise(position - s["shift"])).cast("int")
-
-
-def origin(spans: Column, history: list[Column]) -> Column:
-    """Spans mapped back through edit lists, the latest first."""
+    """Sorted, with overlapping and touching spans joined: a span stays if it starts beyond all ends before it, and reaches to the last end before the next that stays."""
+    ordered = F.array_sort(spans)
 
-    def back(s: Column, edits: Column) -> Column:
-        return F.when(F.size(edits) == 0, s).otherwise(
-            F.transform(s, lambda x: F.struct(before(x["start"], edits, False).alias("start"), before(x["end"], edits, True).alias("end")))
-        )
+    def joined(s: Column) -> Column:
+        tops = F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.array_max(F.transform(F.slice(s, 1, i), lambda x: x["end"])))
+        heads = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["start"] > F.get(tops, i - 2)))
+        last = lambda k: F.coalesce(F.get(heads, k + 1) - 2, F.size(s) - 1)
+        return F.transform(heads, lambda i, k: F.struct(F.get(s, i - 1)["start"].alias("start"), F.get(tops, last(k)).alias("end")))
 
-    return reduce(back, reversed(history), spans)
+    return F.when(F.size(spans) <= 1, spans).otherwise(joined(ordered)).cast(SPAN)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textward import cases
 from textward.functions import values as V
 from textward.operators import check as C
 from textward.operators import joins as J
@@ -55,6 +56,8 @@ def _masked(pattern: str, mask: str, source: str = "documents", key: str = "doc_
 
 
 _PARTIAL = "CASE WHEN length(x) > 8 THEN left(x, 2) || '****' || right(x, 2) ELSE repeat('*', length(x)) END"
+
+
 def _show(df: DataFrame, key: str = "doc_id") -> DataFrame:
     spans = F.size(F.flatten(F.transform("found", lambda x: x["spans"])))
     return df.select(key, spans.cast("long").alias("n"), F.sha2("edited", 256).alias("edited"))
@@ -185,13 +188,26 @@ def regex_fullmatch(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'allow' ELSE 'block' END AS decision, CASE WHEN event_type IN ('view', 'click') THEN props ELSE 'Tool call blocked.' END AS onward FROM events")
 def allowed_tools(spark, sf_dir):
-    calls = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool"), H.tool_arguments(F.col("props")).alias("text"))
+    calls = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool"), F.coalesce("props", F.lit("{}")).alias("text"))
     return C.check(calls, "tool_call", [P.AllowedTools(tools=("view", "click"))]).select("event_id", "decision", "onward")
 
 
-@query("SELECT event_id, coalesce(json_extract_string(props, '$.text'), json_extract_string(props, '$.content'), props) AS result FROM events")
+@query("SELECT event_id, event_type AS tool FROM events WHERE event_type NOT IN ('view', 'click') OR event_type IS NULL")
+def tools_outside(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool"))
+    return J.outside(calls, spark.createDataFrame([("view",), ("click",)], "tool string")).select("event_id", "tool")
+
+
+@query("SELECT event_id, props AS result FROM events")
+def tool_arguments(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", H.tool_arguments(F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"'))).alias("result"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || chr(10) || 'failed' WHEN event_id % 3 = 1 THEN event_type ELSE '{"kind": "' || event_type || '", "n": 1}' END AS result FROM events""")
 def tool_result_text(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", H.tool_text(F.col("props")).alias("result"))
+    kind = F.col("event_type")
+    made = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(kind.alias("stdout"), F.lit("failed").alias("stderr")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.lit(2).alias("text"), kind.alias("content")))).otherwise(F.to_json(F.struct(F.lit(1).alias("n"), kind.alias("kind"))))
+    return table(spark, sf_dir, "events").select("event_id", H.tool_text(made).alias("result"))
 
 
 @query("SELECT conv_id, turn, contains(lower(text), 'with that') AS leaked FROM conversations WHERE role = 'assistant'")
@@ -330,9 +346,47 @@ def json_embedded(spark, sf_dir):
     return C.findings_of(events, P.JsonCheck(), "output", "props").select("event_id", (F.size("found") > 0).alias("blocked"))
 
 
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 1024 THEN 1 END AS pieces, CASE WHEN strlen(text) <= 1024 THEN 0 END AS overlong FROM documents WHERE strlen(text) <= 1024 OR strlen(text) > 40000")
+def chunk_whole(spark, sf_dir):
+    found = G.chunked(_documents(spark, sf_dir).where("octet_length(text) <= 1024 or octet_length(text) > 40000"), "doc_id", "text", 1024)
+    whole = F.min(F.when(F.col("label").isNull(), 0))
+    return found.groupBy("doc_id").agg(whole.alias("overlong"), F.count(F.when(F.col("label").isNull(), 1)).cast("int").alias("n")).select("doc_id", F.nullif("n", F.lit(0)).alias("pieces"), "overlong")
+
+
 @query()
 def chunk_spans(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.explode(G.chunks(F.col("text"), 1024, most=None)).alias("s")).select("doc_id", "s.start", "s.end")
+    return G.chunked(_documents(spark, sf_dir), "doc_id", "text", 1024, most=None)
+
+
+@query(
+    """SELECT doc_id, term FROM documents, (VALUES ('clown'), ('worthless idiot'), ('the')) AS t(term)
+      WHERE contains(lower(text), term) AND regexp_matches(lower(text), '(^|[^\\pL\\pN_])' || split_part(term, ' ', 1) || '([^\\pL\\pN_]|$)')"""
+)
+def terms_join(spark, sf_dir):
+    terms = spark.createDataFrame([("clown",), ("worthless idiot",), ("the",)], "term string")
+    return J.violations(_documents(spark, sf_dir), terms, "doc_id", "text")
+
+
+@query("""SELECT conv_id, count(*) FILTER (WHERE role IN ('user', 'assistant') AND text IS NOT NULL)::INT AS turns, max(CASE WHEN role = 'system' THEN text END) AS prompt FROM conversations GROUP BY conv_id""")
+def context_attach(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    keys = turns.select("conv_id").distinct()
+    prompts = turns.where("role = 'system'").groupBy("conv_id").agg(F.max("text").alias("prompt"))
+    out = J.with_context(keys, "conv_id", prompts, None, turns.where("role in ('user', 'assistant') and text is not null").select("conv_id", "turn", "role", "text"))
+    return out.select("conv_id", F.coalesce(F.size("history"), F.lit(0)).alias("turns"), "prompt")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '{_TERMS_SQL}') THEN 'block' ELSE 'allow' END AS decision FROM conversations WHERE role = 'user'""")
+def input_check(spark, sf_dir):
+    users = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return C.check(users, "input", [P.Substrings(terms=TERMS), P.InvisibleText()]).select("conv_id", "turn", "decision")
+
+
+@query(f"""SELECT event_id, CASE WHEN regexp_matches(props, '[0-9]{{3}}') THEN 'redact' ELSE '' END AS action, regexp_replace(props, '[0-9]{{3}}', '[REDACTED]', 'g') AS onward FROM events""")
+def tool_result_check(spark, sf_dir):
+    results = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool"), F.col("props").alias("text"))
+    done = C.check(results, "tool_result", [P.Regex(patterns=("[0-9]{3}",), action="redact")], tool="tool")
+    return done.select("event_id", F.coalesce(F.get("findings", 0)["action"], F.lit("")).alias("action"), F.when(F.col("decision") == "allow", F.col("onward")).alias("onward"))
 
 
 @query()
@@ -340,3 +394,7 @@ def fold_match(spark, sf_dir):
     from textward.functions.text import folded
 
     return folded(_documents(spark, sf_dir), "text", "folded").select("doc_id", F.contains("folded", F.lit("the and")).alias("found"))
+
+
+QUERIES |= cases.QUERIES
+ORACLE_SQL |= cases.ORACLE_SQL

@@ -44,13 +44,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where nothing is set, as
-    in tests on one machine, a folder of our own is made and set.
+    It is ``spark.checkpoint.dir`` of the session. Only where nothing is set and the
+    executors run on this machine, as in tests, a folder of our own is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='textward-shared-')}"
         spark.sparkContext.setCheckpointDir(found)
