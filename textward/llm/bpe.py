@@ -28,8 +28,9 @@ from textward.llm.common import map_texts, texts_of
 #: Characters with the property White_Space, as the pattern means by its class of spaces.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _NONE = np.int32(2**31 - 1)
-#: Widths of the padded matrices; longer pieces go through a heap.
-WIDTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256)
+#: Widths of the padded matrices. A matrix takes a round for each merge, so its work grows with the square of its
+#: width; a piece of more bytes, which no text with spaces has, makes the same merges in the same order through a heap.
+WIDTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512, 1024)
 #: Characters of text split into pieces at once.
 SEGMENT = 1 << 18
 #: Characters of text whose new pieces are encoded together.
