@@ -1,13 +1,12 @@
 """Secret scans: fixed patterns, and a character convolutional network over candidates in context.
 
-Candidates are long runs of key-like characters with a letter and a digit in
-them. The network (numpy) reads a candidate with its surroundings: embedded
+Candidates are all runs of `SHORTEST` or more key-like characters. The network (numpy) reads a candidate with its surroundings: embedded
 characters, one convolution, the maximum over the candidate and over its context,
 a logistic output. It is trained on labelled findings made up from a seed: keys
 of many shapes against numbers, paths, versions, dates and words. On findings
-kept out of training its output is calibrated (Platt), and the threshold is the
-largest with which the scan's candidates still recall `RECALL` of the keys there
-that no pattern finds.
+kept out of training its output is calibrated (Platt); on others the threshold is
+the largest with which the scan's candidates recall `RECALL` of the keys there that
+no pattern finds, by two standard errors.
 
 Spans are code points, end exclusive. What the patterns find always stays; the
 network adds candidates that no pattern's span meets. Null text counts as empty;
@@ -36,7 +35,8 @@ _NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
 ASSIGN = re.compile(rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 _HINT = re.compile(r"[:=]")
 
 LEFT, CORE, RIGHT = 24, 40, 12
@@ -61,13 +61,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of key-like characters that hold a letter and a digit."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(c in run for c in string.digits) and any(c.isalpha() for c in run):
-            out.append(m.span())
-    return out
+    """Runs of key-like characters, whatever they are made of."""
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def windows_of(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,28 +162,31 @@ class CharNetwork:
                     s[k] = 0.999 * s[k] + 0.001 * x * x
                     self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, found: np.ndarray) -> None:
-        """Platt scaling by Newton steps, then the recall-constrained threshold.
-
-        `x` is each finding's raw score in the scan, -inf where the scan scores
-        nothing of it, which counts as a miss; `found` says which ones a fixed pattern
-        finds, and the recall is that of the other keys.
-        """
-        seen = np.isfinite(x)
-        x_, y_ = x[seen], y[seen]
-        target = np.where(y_ > 0, (y_.sum() + 1) / (y_.sum() + 2), 1 / ((1 - y_).sum() + 2))
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling by Newton steps, of raw scores and labels."""
+        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         a, b = 1.0, 0.0
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a * x_ + b, -40, 40)))
+            p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
             w, d = p * (1 - p) + 1e-9, p - target
-            h = np.array([[w @ (x_ * x_) + 1e-3, w @ x_], [w @ x_, w.sum() + 1e-3]])
-            step = np.linalg.solve(h, np.array([d @ x_, d.sum()]))
+            h = np.array([[w @ (x * x) + 1e-3, w @ x], [w @ x, w.sum() + 1e-3]])
+            step = np.linalg.solve(h, np.array([d @ x, d.sum()]))
             a, b = max(0.05, a - float(np.clip(step[0], -1, 1))), b - float(np.clip(step[1], -2, 2))
         self.scale, self.shift = a, b
-        p = np.where(seen, 1 / (1 + np.exp(-np.clip(a * np.where(seen, x, 0) + b, -40, 40))), 0)
+
+    def choose(self, x: np.ndarray, y: np.ndarray, found: np.ndarray) -> None:
+        """The recall-constrained threshold.
+
+        `x` is each finding's raw score in the scan, -inf where the scan scores
+        nothing of it, which counts as a miss; `found` says which ones a fixed pattern
+        finds, and the recall is that of the other keys.
+        """
+        p = np.where(np.isfinite(x), 1 / (1 + np.exp(-np.clip(self.scale * np.where(np.isfinite(x), x, 0) + self.shift, -40, 40))), 0)
         kept = np.sort(p[(y > 0) & ~found])
+        # Two standard errors on the safe side, so that the recall holds for other findings too.
+        missed = (1 - RECALL) * len(kept) - 2 * np.sqrt(RECALL * (1 - RECALL) * len(kept))
         # A little less, as the same row differs in its last bits from batch to batch.
-        self.threshold = float(kept[int(np.floor((1 - RECALL) * len(kept)))]) - 1e-9
+        self.threshold = float(kept[max(0, int(np.floor(missed)))]) - 1e-9
 
 
 def labelled(n: int, seed: int) -> list[tuple[str, int, int, float]]:
@@ -207,6 +205,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, float]]:
         lambda: word()[:3] + "_" + word()[:4] + "_" + pick(both, r.integers(20, 40)),
         lambda: word()[:3] + "-" + pick(both, r.integers(20, 48)),
         lambda: ".".join(pick(both + "-_", r.integers(16, 40)) for _ in range(3)),
+        lambda: pick(string.ascii_letters, r.integers(20, 48)),
     ]
     others = [
         lambda: "/".join([*words(r.integers(2, 5)), word() + pick(digits, 2) + "." + word()[:3]]),
@@ -222,6 +221,15 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, float]]:
         lambda: word() + "+" + pick(digits, 2) + "=" + "+".join(words(4)),
         lambda: "".join(words(r.integers(3, 5))) + pick(digits, r.integers(1, 5)),
         lambda: pick(digits, 4) + "-" + "-".join(words(3)),
+        lambda: "".join(words(r.integers(3, 6))),
+        lambda: "".join(words(r.integers(3, 6))).capitalize() + ".",
+        lambda: "-".join(words(r.integers(3, 6))) + ".",
+        lambda: ".".join(words(r.integers(3, 6))),
+        lambda: "/".join(words(r.integers(3, 6))) + "/",
+        lambda: "".join(w.capitalize() for w in words(r.integers(3, 6))),
+        lambda: pick("-=._/+", 1) * int(r.integers(16, 80)),
+        lambda: pick(digits, r.integers(16, 40)),
+        lambda: "/".join("".join(w.capitalize() for w in words(2)) for _ in range(int(r.integers(2, 4)))),
         lambda: "www." + word() + ".com/" + word() + "/" + pick(digits, r.integers(3, 8)),
     ]
     before_key = ["token = \"", "secret: ", "password=", "api_key: '", "key ", "auth ", "", "", "", "bearer "]
@@ -230,8 +238,8 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, float]]:
     for i in range(n):
         key = i % 2 == 0
         run, before = (keys[r.integers(len(keys))](), before_key[r.integers(10)]) if key else (others[r.integers(len(others))](), before_other[r.integers(10)])
-        if len(run) < 16:
-            run += pick(both, 16) if key else "-" + "-".join(words(4))
+        if len(run) < SHORTEST:
+            run += pick(both, 16) if key else "-" + "-".join(words(6))
         left = " ".join(words(r.integers(0, 6))) + " " + before
         text = left + run + ["\" ", "' ", " ", "\n", ", ", ""][r.integers(6)] + " ".join(words(3))
         out.append((text, len(left), len(left) + len(run), float(key)))
@@ -239,10 +247,10 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, float]]:
 
 
 def findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of labelled findings, one each: the head or the tail of a long one."""
+    """The windows of labelled findings, one each: of a long one in turn its head and its tail."""
     rows, y = [], []
-    for text, a, b, label in labelled(n, seed):
-        rows.append(windows_of(text, [(a, b)])[0][0 if next(iter({a, max(a, b - CORE)})) == a else -1])
+    for k, (text, a, b, label) in enumerate(labelled(n, seed)):
+        rows.append(windows_of(text, [(a, b)])[0][-(k // 2 % 2)])
         y.append(label)
     return np.array(rows), np.array(y)
 
@@ -269,7 +277,9 @@ def trained() -> CharNetwork:
     """The network; the same on every call, by its seed."""
     net = CharNetwork()
     net.train(*findings(FINDINGS, SEED + 2))
-    net.calibrate(*scanned(net, labelled(FINDINGS, SEED + 3)))
+    raw, y, _ = scanned(net, labelled(FINDINGS, SEED + 3))
+    net.calibrate(raw[np.isfinite(raw)], y[np.isfinite(raw)])
+    net.choose(*scanned(net, labelled(FINDINGS, SEED + 4)))
     return net
 
 
