@@ -14,9 +14,9 @@ so the pairs compared grow with a dense group's size times its queries.
 Queries and codes meet in blocks of bounded size; the best
 of the blocks merge in levels, so that no task gathers what grows with the table.
 
-Vectors that are null or zero, hold null or non-finite components, or have
-another length than most of the sample take no part. Rows without vec_id take no
-part. Rows that repeat an id with the same vector count once. Ties, to twelve
+Vectors that are null or zero or hold null or non-finite components take no part,
+nor do rows without vec_id. Vectors of each length have an index of their own. Of
+rows that repeat an id the nearest vector counts, once. Ties, to twelve
 decimals of the cosine, go to the smaller vec_id. Further columns are ignored; an empty table gives no rows.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -125,22 +126,30 @@ def usable(df: DataFrame) -> DataFrame:
 
 
 def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    """The k nearest rows of each row whose id is divisible by `every`: query_id, rank, vec_id, score."""
-    spark = df.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "ann")
+    """The k nearest rows of each row whose id is divisible by `every`: query_id, rank, vec_id, score.
+
+    Vectors of different lengths have no cosine, so each length has an index of its own.
+    """
+    ship(df.sparkSession)
     rows = usable(df)
+    sizes = sorted(r[0] for r in rows.select(F.size("embedding")).distinct().collect())
+    found = [_nearest(rows.where(F.size("embedding") == n), n, k, every) for n in sizes]
+    empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(lambda a, b: a.unionByName(b), found, empty) if len(found) != 1 else found[0]
+
+
+def _nearest(rows: DataFrame, dimension: int, k: int, every: int) -> DataFrame:
+    """`nearest` among vectors of one length."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "ann")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     hashed = rows.select("vec_id", "embedding", F.xxhash64("vec_id").alias("h"))
     cut = hashed.select("h", "vec_id").orderBy("h", "vec_id").limit(SAMPLE).agg(F.max("h")).first()[0]
     if cut is None:
         return empty
     held = hashed.where(F.col("h") <= cut).orderBy("h", "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    sizes = held.map(len)
-    dimension = int(sizes.mode()[0])
-    codes = AdditiveCodes.fit(_unit(np.stack(held[sizes == dimension].to_list())))
+    codes = AdditiveCodes.fit(_unit(np.stack(held.to_list())))
     shared = spark.sparkContext.broadcast(codes)  # a bounded model: codebooks only
-    rows = rows.where(F.size("embedding") == dimension)
 
     # Classes of equal vectors, with the k + 1 smallest ids; first within a batch, then salted, then together.
     def distinct(batches):
@@ -247,6 +256,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], ["query_id", "ids", "score"])
 
     scored = pairs.mapInArrow(exact, "query_id long, ids array<long>, score double").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
+    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")  # each task keeps k rows a query before the shuffle
