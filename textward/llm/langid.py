@@ -7,7 +7,8 @@ to single characters. A document's languages are weighed by the mean over its
 words.
 
 The tables are counted over a bounded sample of labelled rows (`SAMPLE`, those of
-the smallest hashed id) outside the held-out fold. Null text and text without a
+the smallest hashed id) outside the held-out fold, and hold the `ENTRIES` most
+frequent words and n-grams, so their size has a bound whatever the texts. Null text and text without a
 letter are `und` with score 0; ties go to the language that sorts first; repeated
 rows are predicted each; without any labelled row everything is `und`.
 """
@@ -15,8 +16,9 @@ rows are predicted each; without any labelled row everything is `und`.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -28,11 +30,11 @@ from textward.llm.common import map_texts, texts_of
 from textward.llm.quality import held_out
 from textward.session import ship
 
-SAMPLE = 6_000
+SAMPLE, ENTRIES = 6_000, 400_000
 #: Orders of n-grams, longest first, and how often a word or n-gram must occur.
 ORDERS, LEAST = (4, 3, 2, 1), 2
 #: Words that count towards certainty, and words a worker remembers.
-EVIDENCE, REMEMBERED = 40, 300_000
+EVIDENCE, REMEMBERED = 40, 40_000
 UNKNOWN = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -70,25 +72,30 @@ class Backoff:
         for language, order, key, n in counts:
             found[order].setdefault(key, [0.0] * len(self.languages))[at[language]] += n
             totals[order][at[language]] += n
-        self.tables = {
-            order: {key: [math.log((n + 0.5) / (t + 0.5 * len(table))) for n, t in zip(row, totals[order], strict=True)] for key, row in table.items()}
-            for order, table in found.items()
-        }
-        self.seen: dict[str, list[float] | None] = {}
+        # Rows lie in one array, as lists of numbers would take several times the memory.
+        self.rows = array("d")
+        self.tables: dict[int, dict[str, int]] = {}
+        for order, table in found.items():
+            places = self.tables[order] = {}
+            for key, row in table.items():
+                places[key] = len(self.rows)
+                self.rows.extend(math.log((n + 0.5) / (t + 0.5 * len(table))) for n, t in zip(row, totals[order], strict=True))
+        self.seen: dict[str, Sequence[float] | None] = {}
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "seen": {}}
 
-    def word(self, word: str) -> list[float] | None:
+    def word(self, word: str) -> Sequence[float] | None:
         """Scores of a word by language, or None if not even its characters are known."""
-        if (row := self.tables.get(0, {}).get(word)) is not None:
-            return row
+        width, flat = len(self.languages), self.rows
+        if (at := self.tables.get(0, {}).get(word)) is not None:
+            return flat[at : at + width]
         if word in self.seen:
             return self.seen[word]
         out = None
         for order in ORDERS:
             table = self.tables.get(order, {})
-            rows = [r for g in grams(word, order) if (r := table.get(g)) is not None]
+            rows = [flat[at : at + width] for g in grams(word, order) if (at := table.get(g)) is not None]
             if rows:
                 out = [sum(c) / len(rows) for c in zip(*rows, strict=True)]
                 break
@@ -133,14 +140,15 @@ def learn(df: DataFrame) -> Backoff:
                 parts: dict[int, Counter] = {0: seen, **{order: Counter() for order in ORDERS}}
                 for word, n in seen.items():
                     for order in ORDERS:
-                        for g in grams(word[:64], order):
+                        for g in grams(word, order):
                             parts[order][g] += n
                 for order, table in parts.items():
                     if table:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table)), pa.array([order] * len(table), pa.int32()), pa.array(list(table)), pa.array(list(table.values()), pa.int64())], ["lang", "n", "key", "times"])
 
     counts = sample.mapInArrow(count, "lang string, n int, key string, times long").groupBy("lang", "n", "key").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST)
-    # Bounded by the sample; sorted, so that the same tables give the same model.
+    counts = counts.orderBy(F.desc("times"), "lang", "n", "key").limit(ENTRIES)
+    # Bounded by that number; sorted, so that the same tables give the same model.
     return Backoff(sorted(tuple(r) for r in counts.toPandas().itertuples(index=False, name=None)))
 
 
@@ -158,11 +166,11 @@ def predict(df: DataFrame, model: Backoff) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def annotate(df: DataFrame, model: Backoff) -> DataFrame:
-    """The same rows and columns with lang_pred and lang_score, in one narrow pass."""
+def annotate(df: DataFrame, model: Backoff, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """The same rows and columns with `pred` and `score`, which replace columns of these names, in one narrow pass."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    ready = df.withColumn("text", F.col("text").cast("string"))
-    names = [*ready.columns, "lang_pred", "lang_score"]
+    ready = df.select(*(F.col(c) for c in df.columns if c.lower() not in (pred.lower(), score.lower()))).withColumn("text", F.col("text").cast("string"))
+    names = [*ready.columns, pred, score]
     at = names.index("text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -170,5 +178,5 @@ def annotate(df: DataFrame, model: Backoff) -> DataFrame:
         new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
         return pa.RecordBatch.from_arrays([*batch.columns, *new], names)
 
-    schema = T.StructType([*ready.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*ready.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return map_texts(ready, work, schema)
