@@ -10,7 +10,9 @@ links are confirmed on full sets (100 * intersection >= 75 * union).
 With 32 bands of 4 a pair at the limit is missed with a chance of 5 in a million.
 Null text counts as empty; without words a document has no shingle, links with
 nothing and is kept. Equal texts link at any length. Repeated rows of one id are
-one document. Rows without an id cannot be named in a result and keep a null
+one document; if their texts differ, it meets others by the bands of all of them and
+is compared by the set whose bytes sort last, and each row has its own n_shingles.
+Rows without an id cannot be named in a result and keep a null
 component. Further columns are ignored.
 """
 

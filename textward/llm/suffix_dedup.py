@@ -270,6 +270,8 @@ def repeats(df: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.sweep()
     whole = found.join(classes.select("key", "content", "at"), ["key", "content"]).where(F.expr(_AT) != F.col("at")).select("doc_id", F.struct("start", "n").alias("s"))
     whole = scratch.write(whole.groupBy("doc_id").agg(F.collect_list("s").alias("spans")), "whole")
+    for name in ("again", "keys", "phrases", "classes", "dictionary"):
+        scratch.drop(name)
     scratch.sweep()
     return whole.join(doubtful, "doc_id", "full").join(first, "doc_id", "full").select("doc_id", "spans", "doubtful", "first")
 
