@@ -20,6 +20,7 @@ from textward.operators import policies as P
 from textward.operators.planning import pieces
 from textward.plans.config import judgments_from, policies_from
 from textward.sources import hooks as H
+from textward.streaming.prompts import with_prompt
 from textward.streaming.replies import assemble
 
 
@@ -267,3 +268,18 @@ def test_streamed_replies(spark, tmp_path):
     finally:
         run.stop()
     assert [tuple(r) for r in spark.table("replies").collect()] == [("s", "m", "Hello", 2)]
+
+
+def test_session_prompts_in_a_stream(spark, tmp_path):
+    schema = "session string, seq long, stage string, text string, ok boolean"
+    batches = [[("s", 1, "output", "early", True), ("s", 2, "input", "first", True), ("s", 3, "tool_call", "{}", True)], [("s", 4, "input", "bad", False), ("s", 5, "output", "reply", True), ("../x", 1, "input", "no", True)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = with_prompt(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    run = stream.writeStream.format("memory").queryName("prompts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/check").start()
+    run.awaitTermination(120)
+    got = {r["seq"]: (r["prompt"], r["refused"]) for r in spark.table("prompts").collect()}
+    assert got == {1: (None, True), 2: (None, False), 3: ("first", False), 4: ("first", False), 5: ("first", False)}
+    rows = spark.createDataFrame([r for b in batches for r in b if r[0] == "s"], schema)
+    twin = G.last_prompt(rows, "session", "seq", F.expr("stage = 'input' and ok"), F.col("text"))
+    assert {r["seq"]: r["prompt"] for r in twin.collect()} == {k: p for k, (p, _) in got.items()}

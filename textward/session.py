@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Rows that go to a Python worker at once.
+BATCH = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,9 @@ def ship(spark: SparkSession) -> None:
     Python workers import functions by name, so the package must be importable
     there even if the driver only has it on its own ``sys.path``.
     """
+    # Records of whole texts: a batch of Spark's usual size takes hundreds of MB in a worker and beside the heap.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
