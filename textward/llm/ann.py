@@ -11,8 +11,9 @@ Equal vectors are one class, encoded once, with the smallest ids that a result c
 need. Classes of equal codes, such as rescaled or nearly equal vectors, are one
 candidate, scored once; all of them are ranked exactly where their code is chosen,
 so the pairs compared grow with a dense group's size times its queries.
-Queries and codes meet in blocks of bounded size; the best
-of the blocks merge in levels, so that no task gathers what grows with the table.
+Queries and codes meet in blocks of bounded size; a task goes through a run of
+blocks of codes and keeps each query's best on the way, and the best of the runs
+merge in levels, so that no task gathers what grows with the table.
 
 Vectors that are null or zero or hold null or non-finite components take no part,
 nor do rows without vec_id. Vectors of each length have an index of their own. Of
@@ -36,7 +37,9 @@ from textward.session import Scratch, ship
 #: Rows the codebooks are fitted to, codebooks, codewords in each, and beams.
 SAMPLE, BOOKS, WORDS, BEAMS = 12_000, 16, 256, 6
 #: Codes of a query whose vectors are ranked exactly; codes and queries in a block.
-RERANK, BLOCK, QUERIES = 256, 8192, 256
+RERANK, BLOCK, QUERIES = 256, 8192, 2048
+#: Blocks of codes that one task goes through for a block of queries, and queries scored at once.
+RUN, AT_ONCE = 32, 256
 
 
 @dataclass
@@ -118,6 +121,45 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return y / np.linalg.norm(y, axis=1, keepdims=True)
 
 
+class Best:
+    """The best codes of a block of queries, over the blocks of codes that are added."""
+
+    def __init__(self, books: np.ndarray, raw: bytes):
+        dimension = books.shape[2]
+        count = len(raw) // (8 + 4 * dimension)
+        self.ids = np.frombuffer(raw, np.int64, count)
+        queries = np.frombuffer(raw, np.float32, count * dimension, 8 * count).reshape(count, dimension)
+        self.tables = [np.einsum("qd,mwd->mwq", queries[i : i + AT_ONCE], books).astype(np.float32) for i in range(0, count, AT_ONCE)]
+        self.held = [(np.empty((t.shape[2], 0), np.float32), np.empty((t.shape[2], 0), np.int64), np.empty((t.shape[2], 0), np.int64)) for t in self.tables]
+
+    def add(self, size: int, raw: bytes) -> None:
+        """A block of codes: their hashes, norms and codewords."""
+        h1, h2 = np.frombuffer(raw, np.int64, size), np.frombuffer(raw, np.int64, size, 8 * size)
+        norms = np.maximum(np.frombuffer(raw, np.float32, size, 16 * size), 1e-12)
+        code = np.frombuffer(raw, np.uint8, size * BOOKS, 20 * size).reshape(size, BOOKS)
+        for i, table in enumerate(self.tables):
+            found = np.zeros((size, table.shape[2]), np.float32)
+            for b in range(BOOKS):
+                found += table[b][code[:, b]]
+            found /= norms[:, None]
+            top = np.argpartition(-found, min(RERANK, size) - 1, axis=0)[: min(RERANK, size)].T
+            s, a, b = self.held[i]
+            s = np.concatenate((s, np.take_along_axis(found.T, top, 1)), axis=1)
+            a, b = np.concatenate((a, h1[top]), axis=1), np.concatenate((b, h2[top]), axis=1)
+            if s.shape[1] > RERANK:
+                keep = np.argpartition(-s, RERANK - 1, axis=1)[:, :RERANK]
+                s, a, b = (np.take_along_axis(x, keep, 1) for x in (s, a, b))
+            self.held[i] = (s, a, b)
+
+    def rows(self, run: int) -> pa.RecordBatch:
+        """(query_id, block, best), a row for each query."""
+        width = self.held[0][0].shape[1]
+        s, a, b = (np.concatenate([h[k] for h in self.held]).ravel() for k in range(3))
+        found = pa.StructArray.from_arrays([pa.array(-s), pa.array(a), pa.array(b)], ["s", "h1", "h2"])
+        offsets = pa.array(np.arange(len(self.ids) + 1, dtype=np.int32) * width)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(np.full(len(self.ids), run)), pa.ListArray.from_arrays(offsets, found)], ["query_id", "block", "best"])
+
+
 def usable(df: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part."""
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -211,34 +253,26 @@ def _nearest(rows: DataFrame, dimension: int, k: int, every: int) -> DataFrame:
 
     questions = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("part").applyInArrow(pack_queries, "part long, queries binary")
 
-    # Every block of queries meets every block of codes, by an equi-join on both numbers.
-    left = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    right = questions.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = left.join(right, ["block", "part"]).select("block", "n", "codes", "queries")
+    # Every block of queries meets every run of blocks of codes, by an equi-join on both numbers.
+    runs = -(-blocks // RUN)
+    left = packed.withColumn("run", F.col("block") % runs).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    right = questions.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
+    met = left.join(right, ["run", "part"]).select("run", "part", "n", "codes", "queries").sortWithinPartitions("run", "part")
 
     def score(batches):
-        books = shared.value.books
+        name, best = None, None
         for batch in batches:
-            for block, size, raw, asked_raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h1, h2 = np.frombuffer(raw, np.int64, size), np.frombuffer(raw, np.int64, size, 8 * size)
-                norms = np.frombuffer(raw, np.float32, size, 16 * size)
-                code = np.frombuffer(raw, np.uint8, size * BOOKS, 20 * size).reshape(size, BOOKS)
-                count = len(asked_raw) // (8 + 4 * dimension)
-                ids = np.frombuffer(asked_raw, np.int64, count)
-                q = np.frombuffer(asked_raw, np.float32, count * dimension, 8 * count).reshape(count, dimension)
-                tables = np.einsum("qd,mwd->mwq", q, books).astype(np.float32)
-                found = np.zeros((size, count), np.float32)
-                for b in range(BOOKS):
-                    found += tables[b][code[:, b]]
-                found /= np.maximum(norms, 1e-12)[:, None]
-                take = min(RERANK, size)
-                top = np.argpartition(-found, take - 1, axis=0)[:take].T
-                rows_out = [[{"s": -float(s), "h1": int(a), "h2": int(b)} for s, a, b in zip(found[t, j], h1[t], h2[t], strict=True)] for j, t in enumerate(top)]
-                kind = pa.list_(pa.struct([("s", pa.float32()), ("h1", pa.int64()), ("h2", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(count, block)), pa.array(rows_out, kind)], ["query_id", "block", "best"])
+            for run, part, size, raw, asked_raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (run, part) != name:
+                    if best is not None:
+                        yield best.rows(name[0])
+                    name, best = (run, part), Best(shared.value.books, asked_raw)
+                best.add(size, raw)
+        if best is not None:
+            yield best.rows(name[0])
 
     best = met.mapInArrow(score, "query_id long, block long, best array<struct<s:float,h1:bigint,h2:bigint>>")
-    width = blocks
+    width = runs
     while width > 1:
         width = -(-width // 64)
         best = best.withColumn("block", F.pmod("block", F.lit(width))).groupBy("query_id", "block").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, RERANK).alias("best"))
