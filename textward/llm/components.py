@@ -20,7 +20,7 @@ LEFTOVER = 2
 
 
 #: Pairs that meet in one block, for each row of the open buckets.
-AT_ONCE = 16
+AT_ONCE = 4
 
 
 def _written(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
