@@ -94,11 +94,11 @@ def substrings_case_offsets(spark):
 
 @cases(
     "id:INT edited:VARCHAR n:INT",
-    [(0, "ab", 1), (1, "a❤️b", 0), (2, "ab", 1), (3, "\U0001f468‍\U0001f469", 0), (4, "tab\tand\nline", 0), (5, "ab", 1), (6, "plain", 0), (7, "", 0), (8, "ab", 2)],
+    [(0, "ab", 1), (1, "a❤️b", 0), (2, "ab", 1), (3, "\U0001f468‍\U0001f469", 0), (4, "tab\tand\nline", 0), (5, "ab", 1), (6, "plain", 0), (7, "", 0), (8, "ab", 2), (9, "❤️", 1), (10, "x", 2)],
 )
 def invisible_cases(spark):
     """Hidden characters go; joiners and the selectors of emoji stay."""
-    df = _texts(spark, ["a​b", "a❤️b", "a️b", "\U0001f468‍\U0001f469", "tab\tand\nline", "a‮‬b", "plain", None, "​a​b"])
+    df = _texts(spark, ["a​b", "a❤️b", "a️b", "\U0001f468‍\U0001f469", "tab\tand\nline", "a‮‬b", "plain", None, "​a​b", "❤​️", "️x️"])
     return C.findings_of(df, P.InvisibleText(), "untrusted").select("id", "edited", F.size(F.flatten(F.transform("found", lambda x: x["spans"]))).alias("n"))
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import regex
@@ -111,38 +111,31 @@ def folded_view(text: str, table: dict[int, str]) -> Aligned:
     return skeleton(without_ignorables(casefolded(normalized(Aligned(text), "NFKC"))), table)
 
 
-@lru_cache(maxsize=4096)
-def folded(text: str, table: tuple[tuple[int, str], ...]) -> str:
-    return folded_view(text, dict(table)).text
+def runs(spans: list[tuple], touching: bool) -> list[tuple[int, int]]:
+    """Of spans sorted by start, where each run of overlapping (or touching) ones begins in the list, and the last end in it."""
+    tops = list(accumulate((s[1] for s in spans), max))
+    heads = [k for k, s in enumerate(spans) if not k or s[0] > tops[k - 1] or (not touching and s[0] == tops[k - 1])]
+    return [(k, tops[after - 1]) for k, after in zip(heads, [*heads[1:], len(spans)], strict=False)]
 
 
 def merged(spans: Iterable[Span]) -> list[Span]:
     """Sorted, with overlapping and touching spans joined."""
-    out: list[list[int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+    ordered = sorted(spans)
+    return [(ordered[k][0], end) for k, end in runs(ordered, True)]
 
 
-def disjoint(hits: Iterable[tuple]) -> list[tuple]:
+def disjoint(hits: Iterable[tuple]) -> Iterator[tuple]:
     """Of (start, end, ...) the earlier and longer ones; one that starts inside a kept one is dropped."""
-    kept: list[tuple] = []
+    free = 0
     for hit in sorted(hits, key=lambda h: (h[0], -h[1])):
-        if not kept or hit[0] >= kept[-1][1]:
-            kept.append(hit)
-    return kept
+        if hit[0] >= free:
+            free = hit[1]
+            yield hit
 
 
 def occurrences(text: str, needle: str) -> list[Span]:
     """Every place where the needle starts, overlapping ones too."""
-    out, at = [], text.find(needle)
-    while at >= 0:
-        out.append((at, at + len(needle)))
-        at = text.find(needle, at + 1)
-    return out
+    return [(m.start(), m.start() + len(needle)) for m in regex.finditer(f"(?={regex.escape(needle, special_only=True)})", text)] if needle in text else []
 
 
 def is_word(c: str) -> bool:

@@ -10,7 +10,7 @@ function, each row in linear time. Nothing is shuffled but answers from a table.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
@@ -140,22 +140,21 @@ class Conversation:
         return [(h[0], h[1], self.replacement(text[h[0] : h[1]], h, policy.key, tokens, local)) for h in found]
 
     def replacement(self, value: str, hit: P.Hit, key: bytes | None, tokens: bool, local: bool) -> str:
-        mode = hit[3]
-        if mode == "token" and tokens:
-            made = X.token_of(self.key, value)
-            self.staged[made] = value
-            return made
-        if mode == "local" and local:
-            made = f"{P.OPEN}HERE_{X.hashed(self.key, 'here' + value)[:22]}]"
-            self.markers[made] = value
-            return made
-        if mode == "mask":
-            return "******"
-        if mode == "partial":
-            return X.masked(value)
-        if mode == "hmac":
-            return X.hashed(key, value)
-        return f"[REDACTED_{hit[2].upper()}]"
+        """What stands for a value; conversation tokens and markers only where they may be, else its kind."""
+        makers = {"mask": lambda v: "******", "partial": X.masked, "hmac": lambda v: X.hashed(key, v)}
+        makers |= {"token": self.token} if tokens else {}
+        makers |= {"local": self.marker} if local else {}
+        return makers[hit[3]](value) if hit[3] in makers else f"[REDACTED_{hit[2].upper()}]"
+
+    def token(self, value: str) -> str:
+        made = X.token_of(self.key, value)
+        self.staged[made] = value
+        return made
+
+    def marker(self, value: str) -> str:
+        made = f"{P.OPEN}HERE_{X.hashed(self.key, 'here' + value)[:22]}]"
+        self.markers[made] = value
+        return made
 
 
 @dataclass(frozen=True)
@@ -200,33 +199,35 @@ class Preparation:
                 raise Exceeded("normalized_too_long")
         return view
 
+    def values(self, row: dict) -> Iterator[tuple[str, P.Place, int | None, str | None]]:
+        """The texts of a row's context, where they stand, their number and the role of a turn."""
+        for target in ("prompt", "question"):
+            if row[target] is not None:
+                yield row[target], P.Place(self.stage, "input", target), None, None
+        for k, source in enumerate(s for s in row["sources"] or () if s is not None):
+            yield source, P.Place(self.stage, "untrusted", "source"), k, None
+        for k, turn in enumerate(t for t in row["history"] or () if t is not None and t["text"] is not None and t["role"] in _ROLES):
+            yield turn["text"], P.Place(self.stage, _ROLES[turn["role"]], "history"), k, turn["role"]
+
     def context(self, row: dict, talk: Conversation, findings: list[dict]) -> dict:
         """The context, sanitized before the text."""
-        entries = [(row["prompt"], "input", "prompt", None), (row["question"], "input", "question", None)]
-        entries = [e for e in entries if e[0] is not None]
-        entries += [(s, "untrusted", "source", k) for k, s in enumerate(row["sources"] or ()) if s is not None]
-        turns = [t for t in row["history"] or () if t is not None and t["text"] is not None and t["role"] in _ROLES]
-        entries += [(t["text"], _ROLES[t["role"]], "history", k) for k, t in enumerate(turns)]
-        if len(entries) > CONTEXT_ITEMS:
+        given = list(self.values(row))
+        if len(given) > CONTEXT_ITEMS:
             raise Exceeded("too_many_context_items")
         if row["context_ok"] is False:
             findings.append(_row(V.ENGINE, "context_not_ok", "block", target="prompt" if row["prompt"] is not None else "question"))
-        out: dict = {"prompt": None, "question": None, "sources": [], "history": [], "tokens": []}
-        size = 0
-        for text, origin, target, idx in entries:
-            clean = self.sanitized(text, P.Place(self.stage, origin, target), idx, talk, findings).text
-            size += len(clean.encode())
-            if size > self.limits.max_context_bytes:
+        clean: dict[str, list] = {"prompt": [], "question": [], "source": [], "history": []}
+        tokens: set[str] = set()
+        left = self.limits.max_context_bytes
+        for text, place, idx, role in given:
+            made = self.sanitized(text, place, idx, talk, findings).text
+            left -= len(made.encode())
+            if left < 0:
                 raise Exceeded("context_too_long")
-            out["tokens"] += P.TOKEN.findall(clean)
-            if target == "source":
-                out["sources"].append(clean)
-            elif target == "history":
-                out["history"].append({"role": turns[idx]["role"], "text": clean})
-            else:
-                out[target] = clean
-        out["tokens"] = sorted(set(out["tokens"]))
-        return out
+            tokens.update(P.TOKEN.findall(made))
+            clean[place.target].append(made if role is None else {"role": role, "text": made})
+        single = {k: clean[k][0] if clean[k] else None for k in ("prompt", "question")}
+        return {**single, "sources": clean["source"], "history": clean["history"], "tokens": sorted(tokens)}
 
     def returned(self, text: str, talk: Conversation, row: dict, tokens: list[str]) -> tuple[str, list[dict]]:
         """A reply with its own values back in place, and the conversation's, where its context carried them and no foreign URL would."""

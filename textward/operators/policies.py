@@ -155,15 +155,19 @@ class InvisibleText(Policy):
     def prepare(self, spark: SparkSession) -> None:
         self.emoji = T.emoji(spark.sparkContext.applicationId)
 
-    def _goes(self, text: str, i: int) -> bool:
-        c = ord(text[i])
-        if any(c in r for r in _SELECTORS) and c != 0x180E:
-            return i == 0 or not _selects(c, text[i - 1], self.emoji)
-        return True
+    def _stays(self, char: str, before: str) -> bool:
+        """Whether a character found is a selector that means something after the last one that stays."""
+        return char != "\u180e" and any(ord(char) in r for r in _SELECTORS) and before != "" and _selects(ord(char), before, self.emoji)
 
     def run(self, text: str, place: Place) -> tuple[list[Finding], list[A.Edit]]:
-        pattern = _everything() if self.everything else _HIDDEN
-        spans = [(i, i + 1) for m in pattern.finditer(text) for i in range(*m.span()) if self._goes(text, i)]
+        spans = []
+        for m in (_everything() if self.everything else _HIDDEN).finditer(text):
+            before = text[max(0, m.start() - 1) : m.start()]
+            for i in range(*m.span()):
+                if self._stays(text[i], before):
+                    before = text[i]
+                else:
+                    spans.append((i, i + 1))
         return self.outcome(spans, "invisible_text", "block" if self.block else "redact", "")
 
 
@@ -556,27 +560,11 @@ def grouped(hits: Iterable[Hit]) -> list[Finding]:
 
 def everywhere(text: str, hits: list[Hit]) -> list[Hit]:
     """The hits and every other standalone occurrence of their values; what overlaps goes with the earlier one."""
-    first: dict[str, Hit] = {}
-    times = Counter(text[h[0] : h[1]] for h in hits)
-    for h in hits:
-        first.setdefault(text[h[0] : h[1]], h)
-    rows = list(hits)
-    for value, n in times.items():
-        if text.count(value) > n:
-            at = text.find(value)
-            while at >= 0:
-                end = at + len(value)
-                alone = A.standalone(text, at, end)
-                if alone:
-                    rows.append((at, end, *first[value][2:]))
-                at = text.find(value, end if alone else at + 1)
-    out: list[Hit] = []
-    for h in sorted(rows, key=lambda h: (h[0], -h[1])):
-        if out and h[0] < out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], h[1]), *out[-1][2:])
-        else:
-            out.append(h)
-    return out
+    by_value = {text[h[0] : h[1]]: h for h in reversed(hits)}
+    known = {h[:2] for h in hits}
+    more = ((m.span(), h) for value, h in by_value.items() for m in re.finditer(re.escape(value), text))
+    rows = sorted([*hits, *((*s, *h[2:]) for s, h in more if s not in known and A.standalone(text, *s))], key=lambda h: (h[0], -h[1]))
+    return [(rows[k][0], end, *rows[k][2:]) for k, end in A.runs(rows, False)]
 
 
 _PATTERNS = {name: re.compile(pattern) for name, pattern in V.PII}
