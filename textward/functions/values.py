@@ -12,6 +12,8 @@ PII = (
     ("CRYPTO", r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b"),
     ("CREDIT_CARD", r"\b(?:\d[ -]*?){13,19}\b"),
 )
+#: A phone number anywhere, by ASCII digits and whitespace, inside a longer run of letters and digits as well.
+PHONE_ANYWHERE = r"(?:\+?1[-. \t\n\f\r]?)?(?:\([0-9]{3}\)[ \t\n\f\r]?|[0-9]{3}[-. \t\n\f\r])[0-9]{3}[-. \t\n\f\r][0-9]{4}"
 DEFAULT_PII = ("EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "US_SSN", "IBAN_CODE", "CRYPTO")
 
 # Key formats of vendors.

@@ -568,6 +568,7 @@ def everywhere(text: str, hits: list[Hit]) -> list[Hit]:
 
 
 _PATTERNS = {name: re.compile(pattern) for name, pattern in V.PII}
+_PHONE_ANYWHERE = re.compile(V.PHONE_ANYWHERE)
 _SIGNS = {
     "EMAIL_ADDRESS": "@",
     "UUID": r"[0-9a-fA-F]-[0-9a-fA-F]{4}-",
@@ -588,7 +589,10 @@ def _unsteady(text: Column) -> Column:
 
 @dataclass
 class Pii(Sensitive):
-    """Personal data by pattern. `people` finds names: a function from a text to spans, as no library for them is at hand."""
+    """Personal data by pattern. `people` finds names: a function from a text to spans, as no library for them is at hand.
+
+    With `phone_anywhere` a phone number may touch letters and digits, as in `126.253.1264880761`.
+    """
 
     name: str = "pii"
     entities: Iterable[str] = V.DEFAULT_PII
@@ -598,6 +602,7 @@ class Pii(Sensitive):
     tool_call_mode: str = "block"
     restore: bool = True
     people: Callable[[str], Iterable[A.Span]] | None = None
+    phone_anywhere: bool = False
 
     def __post_init__(self) -> None:
         super().__post_init__()
@@ -632,6 +637,7 @@ class Pii(Sensitive):
         rows = []
         for entity, pattern in _PATTERNS.items():
             if entity in self.entities:
+                pattern = _PHONE_ANYWHERE if entity == "PHONE_NUMBER" and self.phone_anywhere else pattern
                 rows += [(*view.origin(*m.span()), entity) for m in pattern.finditer(view.text) if entity != "CREDIT_CARD" or T.passes_luhn(m[0])]
         if "PERSON" in self.entities:
             rows += [(a, b, "PERSON") for a, b in self.people(text) if a < b]
