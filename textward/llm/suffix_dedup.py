@@ -1,7 +1,7 @@
 """Exact removal of repeated 100-byte strings by prefix-free parsing.
 
 A rolling hash of every `GRAM` bytes makes the triggers: the trigger of a 100-byte
-string is its `GRAM` bytes of least hash (the leftmost, if equal), so equal
+string is its `GRAM` bytes of least hash by 43 bits (the leftmost, if equal), so equal
 strings have equal triggers at equal places, whatever surrounds them. The strings
 of one trigger form a phrase: consecutive starts, and the bytes they reach. A text
 is parsed into phrases, and a phrase occurs again wherever its trigger does.
@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ SPAN, GRAM = 100, 40
 TRIGGERS = SPAN - GRAM + 1
 #: Starts that are parsed at once in a very long text; a phrase may end there, which is harmless.
 _SEGMENT = 1 << 20
+#: The bits of a place in a segment; the hashes that are compared have the others.
+_LOW = np.uint64((1 << (_SEGMENT + SPAN).bit_length()) - 1)
 _BASES = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F)
 
 
@@ -82,32 +85,36 @@ def rolling(data: np.ndarray, size: int, which: int = 0) -> np.ndarray:
 
 
 def least_at(hashes: np.ndarray, window: int) -> np.ndarray:
-    """For each run of `window` hashes the position of its leftmost minimum."""
+    """For each run of `window` hashes the position of its minimum by the upper bits, the leftmost if equal.
+
+    The lower bits make room for the position, so a minimum brings its place along.
+    """
     n = len(hashes) - window + 1
-    best, at, width = hashes, np.arange(len(hashes), dtype=np.int32), 1
+    best, width = hashes & ~_LOW | np.arange(len(hashes), dtype=np.uint64), 1
     while 2 * width <= window:
-        right = best[width:] < best[:-width]
-        at = np.where(right, at[width:], at[:-width])
         best = np.minimum(best[width:], best[:-width])
         width *= 2
     shift = window - width
-    if shift:
-        at = np.where(best[shift : shift + n] < best[:n], at[shift : shift + n], at[:n])
-    return at[:n]
+    return ((np.minimum(best[shift : shift + n], best[:n]) if shift else best[:n]) & _LOW).astype(np.int64)
+
+
+def _parse(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(base, start, number of starts, hash of the trigger, place of the trigger) of the phrases of a text, by segment, from its base."""
+    for base in range(0, len(data) - SPAN + 1, _SEGMENT):
+        hashes = rolling(data[base : base + _SEGMENT + SPAN - 1], GRAM)
+        at = least_at(hashes, TRIGGERS)
+        start = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        yield base, start, np.diff(start, append=len(at)), hashes[at[start]].view(np.int64), at[start]
 
 
 def phrases(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(start, number of starts, hash of the trigger, hash of the content, place of the trigger after the start) of the phrases of a text, by segment."""
-    for base in range(0, len(data) - SPAN + 1, _SEGMENT):
+    for base, start, count, key, at in _parse(data):
         part = data[base : base + _SEGMENT + SPAN - 1]
-        hashes = rolling(part, GRAM)
-        at = least_at(hashes, TRIGGERS)
-        start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        count = np.diff(np.concatenate((start, [len(at)])))
         powers, back = _powers()
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_codes(1)[part] * powers[: len(part)], dtype=np.uint64)))
         content = _spread((sums[start + count + SPAN - 1] - sums[start]) * back[start] + count.astype(np.uint64))
-        yield start + base, count, hashes[at[start]].view(np.int64), content.view(np.int64), at[start] - start
+        yield start + base, count, key, content.view(np.int64), at - start
 
 
 def _bytes(value: pa.Scalar) -> np.ndarray:
@@ -122,7 +129,7 @@ def _trigger_rows(texts: DataFrame) -> DataFrame:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = _bytes(text)
             if len(data) >= SPAN:
-                key, n = np.unique(np.concatenate([x[2] for x in phrases(data)]), return_counts=True)
+                key, n = np.unique(np.concatenate([x[3] for x in _parse(data)]), return_counts=True)
                 docs.append(np.full(len(key), doc)), keys.append(key), times.append(np.minimum(n, 2))
         if not docs:
             return None
@@ -156,9 +163,9 @@ def _dictionary(joined: DataFrame) -> DataFrame:
             data, pairs = _bytes(text), {(w["start"], w["n"]) for w in wanted}
             whole = data.tobytes()
             starts = np.array(sorted({a for a, _ in pairs}))
-            for start, n, key, _, place in phrases(data):
-                for i in np.flatnonzero(np.isin(start, starts)).tolist():
-                    a, k, m = int(start[i]), int(n[i]), int(place[i])
+            for base, start, n, key, at in _parse(data):
+                for i in np.flatnonzero(np.isin(start + base, starts)).tolist():
+                    a, k, m = int(start[i]) + base, int(n[i]), int(at[i] - start[i])
                     if (a, k) in pairs:
                         rows.append((int(key[i]), doc, a, k, m, whole[a : a + m][::-1], whole[a + m : a + k + SPAN - 1]))
         if not rows:
@@ -276,26 +283,35 @@ def repeats(df: DataFrame, scratch: Scratch) -> DataFrame:
     return whole.join(doubtful, "doc_id", "full").join(first, "doc_id", "full").select("doc_id", "spans", "doubtful", "first")
 
 
-def _covered(size: int, spans: list | None, doubtful: list | None, first: list | None) -> np.ndarray:
-    """Which bytes lie in a repeated string."""
-    starts = np.zeros(size + 1, np.int32)
-    maybe = np.zeros(size + 1, bool)
-    for s in spans or ():
-        starts[min(s["start"], size)] += 1
-        starts[min(s["start"] + s["n"], size)] -= 1
-    repeated = np.cumsum(starts) > 0
-    if doubtful:
-        at = np.asarray(doubtful)
-        maybe[at[at <= size]] = True
-    if first:
-        at = np.asarray(first)
-        maybe[at[at <= size]] = False
-    repeated |= maybe
-    edge = np.zeros(size + SPAN + 1, np.int32)
-    at = np.flatnonzero(repeated[: max(0, size - SPAN + 1)])
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + SPAN, -1)
-    return np.cumsum(edge)[:size] > 0
+def _covered(size: int, begins: np.ndarray, counts: np.ndarray, doubtful: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The edges of the runs of bytes that lie in a repeated string: start and end in turn.
+
+    `counts` starts from each of `begins` on are repeated, and so are the doubtful ones that are not first.
+    """
+    # A start of a string is less than SPAN before the end of the text.
+    last = max(0, size - SPAN + 1)
+    maybe = np.zeros(last, bool)
+    maybe[doubtful[doubtful < last]] = True
+    maybe[first[first < last]] = False
+    alone = np.flatnonzero(maybe)
+    begins, ends = np.minimum(np.concatenate((begins, alone)), last), np.minimum(np.concatenate((begins + counts, alone + 1)), last)
+    begins, ends = begins[ends > begins], ends[ends > begins]
+    if not len(begins):
+        return np.empty(0, np.int64)
+    order = np.argsort(begins, kind="stable")
+    begins, reach = begins[order], np.maximum.accumulate(ends[order]) + SPAN - 1
+    # A run ends where the next string begins behind all bytes so far.
+    apart = np.flatnonzero(begins[1:] > reach[:-1])
+    edges = np.empty(2 * len(apart) + 2, np.int64)
+    edges[0], edges[2::2] = begins[0], begins[apart + 1]
+    edges[1:-1:2], edges[-1] = reach[apart], reach[-1]
+    return edges
+
+
+def _rows_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where the values of each row of a list column begin and end, and the values; null is empty."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    return np.concatenate(([0], ends)), column.flatten()
 
 
 def remove_repeats(df: DataFrame) -> DataFrame:
@@ -307,18 +323,17 @@ def remove_repeats(df: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        columns = [batch.column(k) for k in range(5)]
-        for doc, text, spans, doubtful, first in zip(*columns, strict=True):
+        spans_at, spans = _rows_of(batch.column(2))
+        begins, counts = (spans.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n"))
+        (doubtful_at, doubtful), (first_at, first) = ((at, values.to_numpy(zero_copy_only=False)) for at, values in map(_rows_of, (batch.column(3), batch.column(4))))
+        for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             data = _bytes(text)
-            spans, doubtful, first = spans.as_py(), doubtful.as_py(), first.as_py()
-            if spans or doubtful:
-                out = _covered(len(data), spans, doubtful, first)
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], out, [False])).astype(np.int8)))
-                runs = edges.reshape(-1, 2).tolist()
-                kept = hashlib.sha256(data[~out].tobytes()).hexdigest()
-                rows.append((doc.as_py(), len(data), int(out.sum()), len(runs), kept, [{"start": a, "end": b} for a, b in runs]))
-            else:
-                rows.append((doc.as_py(), len(data), 0, 0, hashlib.sha256(data).hexdigest(), []))
+            own = slice(spans_at[i], spans_at[i + 1])
+            edges = _covered(len(data), begins[own], counts[own], doubtful[doubtful_at[i] : doubtful_at[i + 1]], first[first_at[i] : first_at[i + 1]])
+            runs, digest, whole = edges.reshape(-1, 2).tolist(), hashlib.sha256(), memoryview(data)
+            for a, b in zip([0, *(end for _, end in runs)], [*(start for start, _ in runs), len(data)], strict=True):
+                digest.update(whole[a:b])
+            rows.append((doc, len(data), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), [{"start": a, "end": b} for a, b in runs]))
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
